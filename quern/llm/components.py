@@ -12,15 +12,26 @@ from quern.session import cut
 def _roots(hooks: DataFrame) -> DataFrame:
     """``v, root`` from ``v, up``; trees collapse by pointer doubling.
 
-    Vertices whose pointer ends at a root only serve as steps for the others.
+    Vertices whose pointer ends at a root are set aside and only serve as steps for the others, so
+    each step joins the rest only and the number of partitions grows by addition, not by doubling.
     """
-    state = cut(hooks.select("v", "up", (F.col("v") == F.col("up")).alias("done")))
-    while not state.where("NOT done").isEmpty():
-        ahead = state.select(F.col("v").alias("x"), F.col("up").alias("xx"))
-        moved = state.where("NOT done").join(ahead, F.col("up") == F.col("x"))
-        moved = moved.select("v", F.col("xx").alias("up"), (F.col("xx") == F.col("up")).alias("done"))
-        state = cut(state.where("done").unionByName(moved))
-    return state.select("v", F.col("up").alias("root"))
+    moving = hooks.select("v", "up", (F.col("v") == F.col("up")).alias("done"))
+    settled: list[DataFrame] = []
+    while True:
+        here = cut(moving)
+        settled.append(here.where("done"))
+        left = here.where("NOT done")
+        if left.isEmpty():
+            break
+        ahead = left
+        for part in settled:
+            ahead = ahead.unionByName(part)
+        ahead = ahead.select(F.col("v").alias("x"), F.col("up").alias("xx"))
+        moving = left.join(ahead, F.col("up") == F.col("x")).select("v", F.col("xx").alias("up"), (F.col("xx") == F.col("up")).alias("done"))
+    out = settled[0]
+    for part in settled[1:]:
+        out = out.unionByName(part)
+    return out.select("v", F.col("up").alias("root"))
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -38,6 +49,7 @@ def components(edges: DataFrame) -> DataFrame:
         .select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
         .distinct()
     )
+    width = int(edges.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     levels = []
     while not live.isEmpty():
         ends = live.select(F.explode(F.array(F.struct(F.col("a").alias("v"), F.col("b").alias("w")), F.struct(F.col("b").alias("v"), F.col("a").alias("w")))).alias("e")).select("e.v", "e.w")
@@ -49,7 +61,7 @@ def components(edges: DataFrame) -> DataFrame:
             hooks.join(back, F.col("up") == F.col("x"))
             .select("v", F.when((F.col("xx") == F.col("v")) & (F.col("v") < F.col("up")), F.col("v")).otherwise(F.col("up")).alias("up"))
         )
-        roots = _roots(hooks)
+        roots = cut(_roots(hooks).coalesce(width))
         levels.append(roots)
         at_a = roots.select(F.col("v").alias("a"), F.col("root").alias("ra"))
         at_b = roots.select(F.col("v").alias("b"), F.col("root").alias("rb"))

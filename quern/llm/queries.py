@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from quern.session import table
 
-from . import components, neighbours, ranking
+from . import components, leakage, names, neighbours, ranking, stuffing, tokens
 
 
 def p1_found(spark, d):
@@ -41,6 +41,37 @@ def p7_knn(spark, d):
     return neighbours.nearest(v, v.where("CAST(key AS BIGINT) % 50 = 0"), 64).select("key", "place", "neighbour", "cos")
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_ranking, p6_found, p7_found, p7_knn)}
+def p2_found(spark, d):
+    linked = names.link(table(spark, d, "resolutions"), table(spark, d, "kb_candidates"))
+    return linked.select("res_id", "qid")
+
+
+def p8_ids(spark, d):
+    return tokens.encode(table(spark, d, "documents"), "doc_id", "text")
+
+
+def p9_found(spark, d):
+    return leakage.leaks(table(spark, d, "documents"), "doc_id", "text", table(spark, d, "eval_items"), "item_id", "passage").select("doc_id", "item_id")
+
+
+def p9_items(spark, d):
+    """How many documents leak each item."""
+    found = leakage.leaks(table(spark, d, "documents"), "doc_id", "text", table(spark, d, "eval_items"), "item_id", "passage")
+    return found.groupBy("item_id").agg(F.count("*").alias("documents"), F.round(F.max("coverage"), 4).alias("most"))
+
+
+def p10_found(spark, d):
+    return stuffing.stuffed(table(spark, d, "documents"), "doc_id", "text", "lang").select("doc_id")
+
+
+def p10_scores(spark, d):
+    out = stuffing.stuffed(table(spark, d, "documents"), "doc_id", "text", "lang")
+    return out.select("doc_id", "direction", F.round("deviation", 3).alias("deviation"), F.round("distance", 3).alias("distance"))
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (p1_found, p1_ranking, p2_found, p6_found, p7_found, p7_knn, p8_ids, p9_found, p9_items, p10_found, p10_scores)
+}
 
 SQL: dict[str, str] = {}
