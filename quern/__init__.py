@@ -7,3 +7,10 @@ queries with their SQL twins) and the optional ``llm`` (operators for training d
 """
 
 __version__ = "0.1.0"
+
+import sys as _sys
+
+from pyspark import cloudpickle as _cloudpickle
+
+# Executors need no copy of this package: functions sent to them carry their code along.
+_cloudpickle.register_pickle_by_value(_sys.modules[__name__])
