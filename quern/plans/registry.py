@@ -23,7 +23,7 @@ def register(sql: str | None = None):
 
 
 def _load() -> None:
-    from . import data  # noqa: F401
+    from . import data, search  # noqa: F401
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -34,3 +34,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 def sql() -> dict[str, str]:
     _load()
     return dict(_SQL)
+
+
+def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return queries()["hybrid_rrf"](spark, sf_dir)
