@@ -1,4 +1,8 @@
-"""Consolidating pairwise matches into groups: deterministic Boruvka hooking."""
+"""Consolidating pairwise matches into groups: deterministic Boruvka hooking.
+
+Joins of the loops carry a merge hint: small rounds would otherwise turn into dozens of broadcasts,
+all of which pass through the driver's memory.
+"""
 
 from __future__ import annotations
 
@@ -27,7 +31,7 @@ def _roots(hooks: DataFrame) -> DataFrame:
         for part in settled:
             ahead = ahead.unionByName(part)
         ahead = ahead.select(F.col("v").alias("x"), F.col("up").alias("xx"))
-        moving = left.join(ahead, F.col("up") == F.col("x")).select("v", F.col("xx").alias("up"), (F.col("xx") == F.col("up")).alias("done"))
+        moving = left.join(ahead.hint("merge"), F.col("up") == F.col("x")).select("v", F.col("xx").alias("up"), (F.col("xx") == F.col("up")).alias("done"))
     out = settled[0]
     for part in settled[1:]:
         out = out.unionByName(part)
@@ -58,7 +62,7 @@ def components(edges: DataFrame) -> DataFrame:
         back = hooks.select(F.col("v").alias("x"), F.col("up").alias("xx"))
         # of a mutual pair the smaller end becomes the root
         hooks = cut(
-            hooks.join(back, F.col("up") == F.col("x"))
+            hooks.join(back.hint("merge"), F.col("up") == F.col("x"))
             .select("v", F.when((F.col("xx") == F.col("v")) & (F.col("v") < F.col("up")), F.col("v")).otherwise(F.col("up")).alias("up"))
         )
         roots = cut(_roots(hooks).coalesce(width))
@@ -66,7 +70,7 @@ def components(edges: DataFrame) -> DataFrame:
         at_a = roots.select(F.col("v").alias("a"), F.col("root").alias("ra"))
         at_b = roots.select(F.col("v").alias("b"), F.col("root").alias("rb"))
         live = cut(
-            live.join(at_a, "a").join(at_b, "b")
+            live.join(at_a.hint("merge"), "a").join(at_b.hint("merge"), "b")
             .where("ra <> rb")
             .select(F.least("ra", "rb").alias("a"), F.greatest("ra", "rb").alias("b"))
             .distinct()
@@ -76,7 +80,7 @@ def components(edges: DataFrame) -> DataFrame:
     out = levels[0].select("v", F.col("root").alias("group"))
     for roots in levels[1:]:
         up = roots.select(F.col("v").alias("x"), "root")
-        out = out.join(up, F.col("group") == F.col("x"), "left").select("v", F.coalesce("root", "group").alias("group"))
+        out = out.join(up.hint("merge"), F.col("group") == F.col("x"), "left").select("v", F.coalesce("root", "group").alias("group"))
     return out
 
 
