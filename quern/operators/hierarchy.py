@@ -6,6 +6,9 @@ so depth does not set the number of rounds.  The contractions are recorded and u
 order, which recovers every node's ancestors.  Nodes may have several parents.  A core that no
 longer contracts holds the cycles: it is trimmed from above as well and closed by doubling.
 Everything is joins on node keys; no graph is gathered in one place.
+
+Joins of the loops carry a merge hint: small rounds would otherwise turn into dozens of broadcasts,
+all of which pass through the driver's memory.
 """
 
 from __future__ import annotations
@@ -32,7 +35,7 @@ def latest_nodes(nodes: DataFrame) -> DataFrame:
 def links(nodes: DataFrame) -> DataFrame:
     """``g, p, c``: parent and child of the same graph, both known; unknown parents don't count."""
     e = nodes.select("g", F.col("n").alias("c"), F.explode("up").alias("p"))
-    return e.join(nodes.select("g", F.col("n").alias("p")), ["g", "p"]).select("g", "p", "c")
+    return e.join(nodes.select("g", F.col("n").alias("p")).hint("merge"), ["g", "p"]).select("g", "p", "c")
 
 
 def _coin(g: str, n: str) -> F.Column:
@@ -43,18 +46,18 @@ def _splice(edges: DataFrame) -> tuple[DataFrame, DataFrame] | None:
     """An independent set of unary nodes: ``(v, p, c)`` of the spliced nodes and the remaining links."""
     ups = edges.groupBy("g", F.col("c").alias("n")).agg(F.count("*").alias("k"), F.min("p").alias("p")).where("k = 1 AND p <> n")
     downs = edges.groupBy("g", F.col("p").alias("n")).agg(F.count("*").alias("k"), F.min("c").alias("c")).where("k = 1")
-    unary = cut(ups.select("g", "n", "p").join(downs.select("g", "n", "c"), ["g", "n"]).where("p <> c").withColumn("coin", _coin("g", "n")))
+    unary = cut(ups.select("g", "n", "p").join(downs.select("g", "n", "c").hint("merge"), ["g", "n"]).where("p <> c").withColumn("coin", _coin("g", "n")))
     if unary.isEmpty():
         return None
     other = unary.select("g", F.col("n").alias("m"), F.col("coin").alias("theirs"))
     # a node yields to a unary neighbour with the greater coin
-    above = unary.join(other, (unary.g == other.g) & (unary.p == other.m), "left").select(unary["*"], F.col("theirs").alias("a"))
-    both = above.join(other, (above.g == other.g) & (above.c == other.m), "left").select(above["*"], F.col("theirs").alias("b"))
+    above = unary.join(other.hint("merge"), (unary.g == other.g) & (unary.p == other.m), "left").select(unary["*"], F.col("theirs").alias("a"))
+    both = above.join(other.hint("merge"), (above.g == other.g) & (above.c == other.m), "left").select(above["*"], F.col("theirs").alias("b"))
     chosen = cut(both.where("(a IS NULL OR coin > a) AND (b IS NULL OR coin > b)").select("g", F.col("n").alias("v"), "p", "c"))
     if chosen.isEmpty():
         return None
     gone = chosen.select("g", F.explode(F.array(F.struct("p", F.col("v").alias("c")), F.struct(F.col("v").alias("p"), "c"))).alias("e")).select("g", "e.p", "e.c")
-    rest = edges.join(gone, ["g", "p", "c"], "left_anti").unionByName(chosen.select("g", "p", "c")).distinct()
+    rest = edges.join(gone.hint("merge"), ["g", "p", "c"], "left_anti").unionByName(chosen.select("g", "p", "c")).distinct()
     return chosen, rest
 
 
@@ -63,7 +66,7 @@ def contract(edges: DataFrame) -> tuple[list[tuple[str, DataFrame]], DataFrame]:
     live, log = cut(edges), []
     while True:
         parents = live.select("g", F.col("p").alias("c")).distinct().withColumn("kept", F.lit(True))
-        marked = cut(live.join(parents, ["g", "c"], "left").select("g", "p", "c", F.coalesce("kept", F.lit(False)).alias("kept")))
+        marked = cut(live.join(parents.hint("merge"), ["g", "c"], "left").select("g", "p", "c", F.coalesce("kept", F.lit(False)).alias("kept")))
         raked = marked.where("NOT kept").drop("kept")
         if raked.isEmpty():
             return log, live
@@ -83,7 +86,7 @@ def _close(edges: DataFrame) -> DataFrame:
     size = pairs.count()
     while True:
         step = pairs.select("g", F.col("a").alias("d"), F.col("d").alias("e"))
-        pairs = cut(pairs.unionByName(pairs.join(step, ["g", "d"]).select("g", "a", F.col("e").alias("d"))).distinct())
+        pairs = cut(pairs.unionByName(pairs.join(step.hint("merge"), ["g", "d"]).select("g", "a", F.col("e").alias("d"))).distinct())
         now = pairs.count()
         if now == size:
             return pairs
@@ -95,7 +98,7 @@ def _core(edges: DataFrame) -> DataFrame:
     live, trimmed = edges, []
     while True:
         children = live.select("g", F.col("c").alias("p")).distinct().withColumn("kept", F.lit(True))
-        marked = cut(live.join(children, ["g", "p"], "left").select("g", "p", "c", F.coalesce("kept", F.lit(False)).alias("kept")))
+        marked = cut(live.join(children.hint("merge"), ["g", "p"], "left").select("g", "p", "c", F.coalesce("kept", F.lit(False)).alias("kept")))
         loose = marked.where("NOT kept").drop("kept")
         if loose.isEmpty():
             break
@@ -104,7 +107,7 @@ def _core(edges: DataFrame) -> DataFrame:
     pairs = _close(live)
     for loose in reversed(trimmed):
         below = pairs.select("g", F.col("a").alias("c"), "d")
-        new = loose.select("g", F.col("p").alias("a"), F.col("c").alias("d")).unionByName(loose.join(below, ["g", "c"]).select("g", F.col("p").alias("a"), "d"))
+        new = loose.select("g", F.col("p").alias("a"), F.col("c").alias("d")).unionByName(loose.join(below.hint("merge"), ["g", "c"]).select("g", F.col("p").alias("a"), "d"))
         pairs = cut(pairs.unionByName(new.distinct()))
     return pairs
 
@@ -121,15 +124,15 @@ def ancestors(edges: DataFrame) -> DataFrame:
             new = step.select("g", F.col("p").alias("a"), F.col("c").alias("d"))
             if pairs is not None:
                 above = pairs.select("g", "a", F.col("d").alias("p"))
-                new = new.unionByName(step.join(above, ["g", "p"]).select("g", "a", F.col("c").alias("d"))).distinct()
+                new = new.unionByName(step.join(above.hint("merge"), ["g", "p"]).select("g", "a", F.col("c").alias("d"))).distinct()
         else:
             # the restored node takes its parent's ancestors and becomes one of its child's descendants'
             above = pairs.select("g", "a", F.col("d").alias("p"))
             below = pairs.select("g", F.col("a").alias("c"), "d")
-            own = step.select("g", F.col("p").alias("a"), F.col("v").alias("d")).unionByName(step.join(above, ["g", "p"]).select("g", "a", F.col("v").alias("d")))
-            under = step.select("g", F.col("v").alias("a"), F.col("c").alias("d")).unionByName(step.join(below, ["g", "c"]).select("g", F.col("v").alias("a"), "d"))
+            own = step.select("g", F.col("p").alias("a"), F.col("v").alias("d")).unionByName(step.join(above.hint("merge"), ["g", "p"]).select("g", "a", F.col("v").alias("d")))
+            under = step.select("g", F.col("v").alias("a"), F.col("c").alias("d")).unionByName(step.join(below.hint("merge"), ["g", "c"]).select("g", F.col("v").alias("a"), "d"))
             # and of each node restored beside it whose parent it is above; on a cycle that is itself
-            beside = under.join(step.select("g", F.col("p").alias("d"), "v"), ["g", "d"]).select("g", "a", F.col("v").alias("d"))
+            beside = under.join(step.select("g", F.col("p").alias("d"), "v").hint("merge"), ["g", "d"]).select("g", "a", F.col("v").alias("d"))
             new = own.unionByName(under).unionByName(beside).distinct()
         parts.append(cut(new))
     out = parts[0] if parts else edges.select("g", F.col("p").alias("a"), F.col("c").alias("d")).limit(0)
@@ -147,16 +150,16 @@ def hierarchy(nodes: DataFrame, edges: DataFrame, closure: DataFrame) -> DataFra
     """
     up = closure.groupBy("g", F.col("d").alias("n")).agg(F.count("*").alias("n_ancestors"), F.max((F.col("a") == F.col("d")).cast("int")).alias("c"))
     down = closure.where("a <> d").groupBy("g", F.col("a").alias("n")).agg(F.count("*").alias("n_descendants"))
-    tops = nodes.select("g", "n").join(edges.select("g", F.col("c").alias("n")), ["g", "n"], "left_anti")
+    tops = nodes.select("g", "n").join(edges.select("g", F.col("c").alias("n")).hint("merge"), ["g", "n"], "left_anti")
     seen = cut(tops.select("g", "n", F.lit(0).alias("depth"), F.col("n").alias("path")))
     front, every = seen, seen
     while not front.isEmpty():
-        step = front.select("g", F.col("n").alias("p"), "depth", "path").join(edges, ["g", "p"])
-        step = step.join(every.select("g", F.col("n").alias("c")), ["g", "c"], "left_anti")
+        step = front.select("g", F.col("n").alias("p"), "depth", "path").join(edges.hint("merge"), ["g", "p"])
+        step = step.join(every.select("g", F.col("n").alias("c")).hint("merge"), ["g", "c"], "left_anti")
         front = cut(step.groupBy("g", F.col("c").alias("n")).agg((F.min("depth") + 1).alias("depth"), F.min(F.concat_ws(" > ", "path", "c")).alias("path")))
         every = every.unionByName(front)
-    roots = tops.select("g", F.col("n").alias("a")).join(closure, ["g", "a"]).groupBy("g", F.col("d").alias("n")).agg(F.sort_array(F.collect_set("a")).alias("r"))
-    out = nodes.select("g", "n").join(every, ["g", "n"], "left").join(up, ["g", "n"], "left").join(down, ["g", "n"], "left").join(roots, ["g", "n"], "left")
+    roots = tops.select("g", F.col("n").alias("a")).join(closure.hint("merge"), ["g", "a"]).groupBy("g", F.col("d").alias("n")).agg(F.sort_array(F.collect_set("a")).alias("r"))
+    out = nodes.select("g", "n").join(every.hint("merge"), ["g", "n"], "left").join(up.hint("merge"), ["g", "n"], "left").join(down.hint("merge"), ["g", "n"], "left").join(roots.hint("merge"), ["g", "n"], "left")
     return out.select(
         "g", "n", "depth", "path",
         F.concat_ws(",", F.coalesce("r", F.when(F.col("depth") == 0, F.array("n")), F.array().cast("array<string>"))).alias("roots"),
