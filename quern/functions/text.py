@@ -7,6 +7,7 @@ import re
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 WORD = r"[\p{L}\p{N}_]+"
 TOKEN = r"[\p{L}\p{N}]+"
@@ -120,7 +121,7 @@ def porter(w: str) -> str:
     return w[:-1] if w.endswith("ll") and _measure(w) > 1 else w
 
 
-@F.pandas_udf("array<string>")
+@F.pandas_udf(T.ArrayType(T.StringType()))
 def stems(words: pd.Series) -> pd.Series:
     """Porter stems of arrays of tokens."""
     known: dict[str, str] = {}

@@ -28,7 +28,8 @@ def reference_ids(source: DataFrame, ref: Reference, key: str = "id") -> DataFra
     """``id, target_id`` (strings): every reference of the field; nulls drop out."""
     value = F.col(ref.field)
     if ref.array:
-        value = F.explode(F.transform(value, lambda x: x[ref.sub_field]) if ref.sub_field else value)
+        value = F.explode(F.transform(value, lambda x: (x[ref.sub_field] if ref.sub_field else x).cast("string")))
+        return source.select(F.col(key).cast("string").alias("id"), value.alias("target_id")).where("target_id IS NOT NULL")
     return source.select(F.col(key).cast("string").alias("id"), value.cast("string").alias("target_id")).where("target_id IS NOT NULL")
 
 
@@ -74,7 +75,7 @@ def relink(source: DataFrame, ref: Reference, merges: DataFrame) -> DataFrame:
         return moved.withColumn(ref.field, F.coalesce(F.col("_t").cast(kind), F.col(ref.field))).drop("_s", "_t")
     item = kind.elementType
     get = (lambda x: x[ref.sub_field]) if ref.sub_field else (lambda x: x)
-    ids = source.select(F.explode(F.transform(ref.field, get)).cast("string").alias("_s"))
+    ids = source.select(F.explode(F.transform(ref.field, lambda x: get(x).cast("string"))).alias("_s"))
     used = ids.distinct().join(merges.select(F.col("source").alias("_s"), F.col("target").alias("_t")), "_s")
     rows = source.withColumn("_ids", F.array_distinct(F.transform(ref.field, lambda x: get(x).cast("string"))))
     pairs = rows.select("id", F.explode("_ids").alias("_s")).join(used, "_s").groupBy("id").agg(F.map_from_entries(F.collect_list(F.struct("_s", "_t"))).alias("_m"))

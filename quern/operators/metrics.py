@@ -106,13 +106,13 @@ def correlations(df: DataFrame, x: str, y: str) -> DataFrame:
 def v_measure(labels: DataFrame, truth: str, cluster: str) -> DataFrame:
     """``homogeneity, completeness, v`` of a clustering against classes."""
     c = labels.groupBy(F.col(truth).alias("t"), F.col(cluster).alias("c")).agg(F.count("*").cast("double").alias("n"))
-    total = c.agg(F.sum("n").alias("N"))
+    total = c.agg(F.sum("n").alias("every"))
     t = c.groupBy("t").agg(F.sum("n").alias("nt"))
     k = c.groupBy("c").agg(F.sum("n").alias("nc"))
-    x = c.join(t, "t").join(k, "c").join(total)
-    cond = x.agg(F.sum(-F.col("n") / F.col("N") * F.log(F.col("n") / F.col("nc"))).alias("htc"), F.sum(-F.col("n") / F.col("N") * F.log(F.col("n") / F.col("nt"))).alias("hct"))
-    ht = t.join(total).agg(F.sum(-F.col("nt") / F.col("N") * F.log(F.col("nt") / F.col("N"))).alias("ht"))
-    hc = k.join(total).agg(F.sum(-F.col("nc") / F.col("N") * F.log(F.col("nc") / F.col("N"))).alias("hc"))
+    x = c.join(F.broadcast(total)).join(t, "t").join(k, "c")
+    cond = x.agg(F.sum(-F.col("n") / F.col("every") * F.log(F.col("n") / F.col("nc"))).alias("htc"), F.sum(-F.col("n") / F.col("every") * F.log(F.col("n") / F.col("nt"))).alias("hct"))
+    ht = t.join(total).agg(F.sum(-F.col("nt") / F.col("every") * F.log(F.col("nt") / F.col("every"))).alias("ht"))
+    hc = k.join(total).agg(F.sum(-F.col("nc") / F.col("every") * F.log(F.col("nc") / F.col("every"))).alias("hc"))
     h = F.when(F.col("ht") > 1e-12, 1 - F.col("htc") / F.col("ht")).otherwise(1.0)
     m = F.when(F.col("hc") > 1e-12, 1 - F.col("hct") / F.col("hc")).otherwise(1.0)
     return cond.join(ht).join(hc).select(F.round(h, 6).alias("homogeneity"), F.round(m, 6).alias("completeness"), F.round(F.when(h + m > 0, 2 * h * m / (h + m)).otherwise(0.0), 6).alias("v"))

@@ -59,21 +59,21 @@ def cosine_pairs(vectors: DataFrame, threshold: float) -> DataFrame:
     meet = cut(meet)
     at = F.struct("block", "part")
     a = parts.select(at.alias("l"), "id", "u").join(meet, "l").select("l", "k", "id", "u")
-    b = parts.select(at.alias("k"), "id", "u").join(meet, "k").select("l", "k", "id", "u")
+    b = parts.select(at.alias("k"), F.col("id").alias("id2"), F.col("u").alias("u2")).join(meet.select(F.col("l").alias("l2"), F.col("k").alias("k2")), F.col("k") == F.col("k2")).select("l2", "k2", "id2", "u2")
 
     def compare(x: pd.DataFrame, y: pd.DataFrame) -> pd.DataFrame:
         if not len(x) or not len(y):
             return pd.DataFrame(columns=["a", "b", "score"])
-        s = np.stack(x["u"].to_numpy()) @ np.stack(y["u"].to_numpy()).T
+        s = np.stack(x["u"].to_numpy()) @ np.stack(y["u2"].to_numpy()).T
         i, j = np.nonzero(s >= threshold)
-        p, q = x["id"].to_numpy()[i], y["id"].to_numpy()[j]
-        same = x["l"].iloc[0] == y["k"].iloc[0]
+        p, q = x["id"].to_numpy()[i], y["id2"].to_numpy()[j]
+        same = x["l"].iloc[0] == x["k"].iloc[0]
         keep = p < q if same else p != q
         p, q, v = p[keep], q[keep], s[i, j][keep]
         return pd.DataFrame({"a": np.minimum(p, q), "b": np.maximum(p, q), "score": v.round(6)})
 
     kind = vectors.schema["id"].dataType.simpleString()
-    return a.groupBy("l", "k").cogroup(b.groupBy("l", "k")).applyInPandas(compare, f"a {kind}, b {kind}, score double")
+    return a.groupBy("l", "k").cogroup(b.groupBy("l2", "k2")).applyInPandas(compare, f"a {kind}, b {kind}, score double")
 
 
 def cross_group(pairs: DataFrame, groups: DataFrame) -> DataFrame:
