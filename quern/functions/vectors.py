@@ -15,10 +15,18 @@ def norm(a: Column) -> Column:
     return F.sqrt(F.aggregate(a, F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double")))
 
 
+def let(value: Column, body) -> Column:
+    """``body`` of a value that is computed once, however often it is used."""
+    return F.transform(F.array(value), body)[0]
+
+
 def unit(a: Column) -> Column:
     """L2-normalised vector; a zero vector stays zero (its divisor is one)."""
-    n = norm(a)
-    return F.transform(a, lambda x: x.cast("double") / F.when(n == 0, F.lit(1.0)).otherwise(n))
+
+    def scaled(v: Column) -> Column:
+        return let(norm(v), lambda n: F.transform(v, lambda x: x.cast("double") / F.when(n == 0, F.lit(1.0)).otherwise(n)))
+
+    return let(a, scaled)
 
 
 def cosine(a: Column, b: Column) -> Column:
@@ -37,8 +45,12 @@ def weighted(fields: list[tuple[Column, float]]) -> Column:
     total = sum(w for _, w in fields)
     if not fields or total <= 0:
         raise ValueError("weights must have a positive sum")
+
+    def scaled(v: Column, share: float) -> Column:
+        return F.transform(unit(v), lambda x: x * F.lit(share))
+
     out = None
     for v, w in fields:
-        part = F.transform(unit(v), lambda x, s=w / total: x * F.lit(s))
+        part = scaled(v, w / total)
         out = part if out is None else F.zip_with(out, part, lambda x, y: x + y)
     return unit(out)

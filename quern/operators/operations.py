@@ -100,7 +100,7 @@ def audit_summary(log: DataFrame) -> DataFrame:
     """``action, tier, n, cost, items, errors``: total, by action and by tier in one pass (grouping sets); an empty tier is unknown."""
     rows = log.select(F.coalesce("action", F.lit("")).alias("action"), F.coalesce(F.nullif("tier", F.lit("")), F.lit("unknown")).alias("tier"), "item_id", F.coalesce("cost", F.lit(0.0)).alias("cost"), "failed")
     g = rows.groupingSets([[], ["action"], ["tier"]], "action", "tier")
-    return g.agg(F.count("*").alias("n"), F.round(F.sum("cost"), 6).alias("cost"), F.count_distinct("item_id").alias("items"), F.count_if("failed").alias("errors"))
+    return g.agg(F.count("*").alias("n"), F.round(F.sum("cost"), 4).alias("cost"), F.count_distinct("item_id").alias("items"), F.count_if("failed").alias("errors"))
 
 
 def latest_operations(log: DataFrame, kinds: list[str] | None = None) -> DataFrame:
@@ -128,12 +128,12 @@ def cost_summary(costs: DataFrame, *by: str) -> DataFrame:
     g = costs.groupingSets([[b] for b in by], *by)
     return g.agg(
         F.count("*").alias("calls"), F.sum("prompt_tokens").alias("prompt_tokens"), F.sum("completion_tokens").alias("completion_tokens"),
-        F.round(F.sum("cost_usd"), 6).alias("cost_usd"), F.min("ts").alias("first_ts"), F.max("ts").alias("last_ts"),
+        F.round(F.sum("cost_usd"), 4).alias("cost_usd"), F.min("ts").alias("first_ts"), F.max("ts").alias("last_ts"),
     )
 
 
 def cost_daily(costs: DataFrame) -> DataFrame:
-    return costs.groupBy(F.to_date("ts").alias("day"), "project").agg(F.round(F.sum("cost_usd"), 6).alias("cost_usd"))
+    return costs.groupBy(F.to_date("ts").alias("day"), "project").agg(F.round(F.sum("cost_usd"), 4).alias("cost_usd"))
 
 
 # Dollars for a million prompt and completion tokens; callers pass their own table.

@@ -219,7 +219,7 @@ def _audit(spark, d):
 
 @register(f"WITH {_AUDIT}, l AS (SELECT coalesce(action, '') AS action, coalesce(nullif(tier, ''), 'unknown') AS tier, item_id, cost, failed FROM log) SELECT action, tier, count(*) AS n, round(sum(cost), 4) AS cost, count(DISTINCT item_id) AS items, count(*) FILTER (WHERE failed) AS errors FROM l GROUP BY GROUPING SETS ((), (action), (tier))")
 def audit_summary(spark, d):
-    return ops.audit_summary(_audit(spark, d)).withColumn("cost", F.round("cost", 4))
+    return ops.audit_summary(_audit(spark, d))
 
 
 @register(f"WITH {_AUDIT} SELECT item_id AS key, arg_max(action, (ts, seq)) AS type, max(ts) AS ts, arg_max(seq, (ts, seq)) AS seq, min(seq) AS first_seq FROM log WHERE action IN ('click', 'purchase', 'view', 'signup') GROUP BY item_id")
@@ -247,7 +247,7 @@ def _costs(spark, d):
 
 @register(f"WITH {_COSTS} SELECT project, model, host, count(*) AS calls, sum(prompt_tokens) AS prompt_tokens, sum(completion_tokens) AS completion_tokens, round(sum(cost_usd), 4) AS cost_usd, min(ts) AS first_ts, max(ts) AS last_ts FROM costs GROUP BY GROUPING SETS ((project), (model), (host))")
 def cost_summary_sets(spark, d):
-    return ops.cost_summary(_costs(spark, d), "project", "model", "host").withColumn("cost_usd", F.round("cost_usd", 4))
+    return ops.cost_summary(_costs(spark, d), "project", "model", "host")
 
 
 @register(f"WITH {_COSTS} SELECT round(coalesce(sum(cost_usd), 0), 4) AS cost_usd FROM costs")
@@ -257,7 +257,7 @@ def cost_total(spark, d):
 
 @register(f"WITH {_COSTS} SELECT substr(ts, 1, 10) AS day, project, round(sum(cost_usd), 4) AS cost_usd FROM costs GROUP BY 1, 2")
 def cost_daily(spark, d):
-    return ops.cost_daily(_costs(spark, d)).select(F.col("day").cast("string").alias("day"), "project", F.round("cost_usd", 4).alias("cost_usd"))
+    return ops.cost_daily(_costs(spark, d)).select(F.col("day").cast("string").alias("day"), "project", "cost_usd")
 
 
 @register(f"WITH {_COSTS} SELECT id, ts, project, model FROM costs WHERE project = 'project1' AND model ILIKE '%MEDIUM%'")
@@ -364,7 +364,7 @@ def best_f1(spark, d):
 _RANK = "SELECT {c}, coalesce(sum(k) OVER (ORDER BY {c} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) + (k + 1) / 2 AS r{c} FROM (SELECT {c}, count(*) AS k FROM p GROUP BY 1)"
 
 
-@register(f"WITH p AS (SELECT CAST(n_chars AS DOUBLE) AS x, CAST(length(regexp_replace(text, '\\s', '', 'g')) AS DOUBLE) AS y FROM documents WHERE text IS NOT NULL AND n_chars IS NOT NULL), a AS ({_RANK.format(c='x')}), b AS ({_RANK.format(c='y')}) SELECT count(*) AS n, round(corr(p.x, p.y), 6) AS pearson, round(corr(rx, ry), 6) AS spearman, round(avg(abs(p.x - p.y)), 6) AS mae FROM p JOIN a USING (x) JOIN b ON b.y = p.y")
+@register(f"WITH p AS (SELECT CAST(n_chars AS DOUBLE) AS x, CAST(length(regexp_replace(text, '[ \\t\\n\\x0b\\f\\r]', '', 'g')) AS DOUBLE) AS y FROM documents WHERE text IS NOT NULL AND n_chars IS NOT NULL), a AS ({_RANK.format(c='x')}), b AS ({_RANK.format(c='y')}) SELECT count(*) AS n, round(corr(p.x, p.y), 6) AS pearson, round(corr(rx, ry), 6) AS spearman, round(avg(abs(p.x - p.y)), 6) AS mae FROM p JOIN a USING (x) JOIN b ON b.y = p.y")
 def corr_metrics(spark, d):
     t = table(spark, d, "documents").select(F.col("n_chars").alias("x"), F.length(F.regexp_replace("text", "[ \\t\\n\\x0b\\f\\r]", "")).alias("y"))
     return metrics.correlations(t, "x", "y")

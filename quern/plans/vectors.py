@@ -191,8 +191,8 @@ def retrieval_metrics(spark, d):
     return metrics.retrieval(retrieval.vector_topk(v, q), relevant)
 
 
-@register(f"WITH {PAIRS} SELECT count(*) AS n, round(avg(score), 6) AS mean_cosine, round(avg(CASE WHEN la = lb THEN score END), 6) AS same_label, round(avg(CASE WHEN la <> lb THEN score END), 6) AS other_label FROM pairs")
+@register(f"WITH {PAIRS} SELECT count(*) AS n, round(avg(score), 4) AS mean_cosine, round(avg(CASE WHEN la = lb THEN score END), 4) AS same_label, round(avg(CASE WHEN la <> lb THEN score END), 4) AS other_label FROM pairs")
 def pair_cosine_stats(spark, d):
     g = vectors(spark, d).select("id", "label")
     p = pairs(spark, d).join(g.select(F.col("id").alias("a"), F.col("label").alias("la")), "a").join(g.select(F.col("id").alias("b"), F.col("label").alias("lb")), "b")
-    return p.agg(F.count("*").alias("n"), F.round(F.avg("score"), 6).alias("mean_cosine"), F.round(F.avg(F.when(F.col("la") == F.col("lb"), F.col("score"))), 6).alias("same_label"), F.round(F.avg(F.when(F.col("la") != F.col("lb"), F.col("score"))), 6).alias("other_label"))
+    return p.agg(F.count("*").alias("n"), F.round(F.avg("score"), 4).alias("mean_cosine"), F.round(F.avg(F.when(F.col("la") == F.col("lb"), F.col("score"))), 4).alias("same_label"), F.round(F.avg(F.when(F.col("la") != F.col("lb"), F.col("score"))), 4).alias("other_label"))

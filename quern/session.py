@@ -42,6 +42,14 @@ def checkpoint_dir(spark: SparkSession) -> str:
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint: runs the plan once, survives lost executors, forgets the lineage."""
-    checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """Reliable checkpoint: runs the plan once, survives lost executors, forgets the lineage.
+
+    A checkpointed frame keeps the size estimate of its plan, and a join's estimate is the product
+    of its sides'.  In a loop the number would double its digits each round until it fills the
+    driver, so the frame is made anew from the checkpointed rows, without an estimate.
+    """
+    spark = df.sparkSession
+    checkpoint_dir(spark)
+    kept = df.checkpoint(eager=True)._jdf
+    fresh = spark._jsparkSession.internalCreateDataFrame(kept.queryExecution().toRdd(), kept.schema(), False)
+    return DataFrame(fresh, spark)
