@@ -167,7 +167,7 @@ class Map:
             else:
                 every = 1.0
                 for p in self.up[n]:
-                    every *= pi[p]
+                    every *= pi.get(p, self.belief[p])  # a cycle has no order: its prior stands in
                 pi[n] = NOISY_AND * every + LEAK * (1 - every)
         lam = {n: [1.0, 1.0] for n in order}
         for n in reversed(order):
@@ -176,7 +176,7 @@ class Map:
                 others = 1.0
                 for q in self.up[n]:
                     if q != p:
-                        others *= pi[q]
+                        others *= pi.get(q, self.belief[q])
                 for k in (0, 1):
                     know = (NOISY_AND * others + LEAK * (1 - others)) if k else LEAK
                     lam[p][k] *= mine[1] * know + mine[0] * (1 - know)
