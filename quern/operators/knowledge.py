@@ -255,3 +255,41 @@ def learners(nodes: DataFrame, edges: DataFrame, responses: DataFrame, mode: str
     kind = responses.schema["learner"].dataType.simpleString()
     out = each.mapInPandas(run, f"learner {kind}, g string, n string, belief double, assessed boolean")
     return out.select("learner", "g", "n", F.col("belief").cast("int").alias("place")) if probe_count else out.withColumn("belief", F.round("belief", 6))
+
+
+def clean_nodes(nodes: DataFrame) -> DataFrame:
+    """Nodes with id and title, defaults filled (level 2, obscurity 3), unknown and self prerequisites dropped."""
+    ok = nodes.where("id IS NOT NULL AND id <> '' AND title IS NOT NULL AND title <> ''")
+    known = ok.select("g", F.col("id").alias("p")).distinct()
+    wanted = ok.select("g", "id", F.posexplode("prerequisites").alias("pos", "p")).where("p <> id").join(known, ["g", "p"])
+    kept = wanted.groupBy("g", "id").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "p"))), lambda s: s["p"]).alias("kept"))
+    out = ok.drop("prerequisites").join(kept, ["g", "id"], "left")
+    return out.withColumn("prerequisites", F.coalesce("kept", F.array().cast("array<string>"))).drop("kept").fillna({"level": 2, "obscurity": 3})
+
+
+def break_cycles(edges: DataFrame, rounds: int = 100) -> DataFrame:
+    """``g, p, c`` without cycles: each round every cyclic component's greatest node gives up its greatest cyclic prerequisite."""
+    from quern.operators.hierarchy import ancestors
+    from quern.session import cut
+
+    live = cut(edges.select("g", "p", "c").distinct())
+    for _ in range(rounds):
+        up = ancestors(live)
+        on = cut(up.where("a = d").select("g", F.col("a").alias("c")))
+        if on.isEmpty():
+            break
+        inner = live.join(on, ["g", "c"]).join(up.select("g", F.col("a").alias("c"), F.col("d").alias("p")), ["g", "c", "p"], "left_semi")
+        last = inner.groupBy("g").agg(F.max(F.struct("c", "p")).alias("x")).select("g", "x.c", "x.p")
+        live = cut(live.join(last, ["g", "p", "c"], "left_anti"))
+    return live
+
+
+def probe_kind(asked: Column, candidates: Column, belief: Column) -> Column:
+    """How the next question is put: recognition first, every fourth a comparison, scoping where the node is likely known."""
+    return F.when(asked < 3, "recognition").when((asked % 4 == 0) & (candidates >= 2), "comparison").when(belief > 0.6, "scoping").otherwise("recognition")
+
+
+def outline(nodes: DataFrame) -> DataFrame:
+    """``g, outline``: titles indented by level, in level and id order."""
+    line = F.concat(F.repeat(F.lit("  "), F.coalesce("level", F.lit(2)) - 1), F.lit("- "), "title")
+    return nodes.groupBy("g").agg(F.concat_ws("\n", F.transform(F.array_sort(F.collect_list(F.struct("level", "id", line.alias("line")))), lambda s: s["line"])).alias("outline"))

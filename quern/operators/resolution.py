@@ -80,3 +80,49 @@ def known_first(mentions: DataFrame, catalogue: DataFrame) -> tuple[DataFrame, D
     one = names.groupBy("name").agg(F.min("qid").alias("qid"), F.count("*").alias("n")).where("n = 1").select("name", "qid")
     asked = mentions.withColumn("name", fold(F.col("mention")))
     return asked.join(one, "name").select("res_id", "qid"), asked.join(one, "name", "left_anti").drop("name")
+
+
+# Properties of birth or inception, and of death or dissolution.
+STARTS, ENDS = ("P569", "P571"), ("P570", "P576")
+
+
+def life_dates(claims: DataFrame) -> DataFrame:
+    """``qid, start, end`` (years) from ``qid, property, rank, value``: the earliest start, the latest end; deprecated claims don't count."""
+    year = F.try_to_number(F.nullif(F.regexp_extract("value", r"^\+?(-?\d{1,5})", 1), F.lit("")), F.lit("S99999")).cast("int")
+    c = claims.where(~F.coalesce(F.col("rank") == "deprecated", F.lit(False))).withColumn("y", year)
+    start, end = F.min(F.when(F.col("property").isin(*STARTS), F.col("y"))), F.max(F.when(F.col("property").isin(*ENDS), F.col("y")))
+    return c.groupBy("qid").agg(start.alias("start"), end.alias("end"))
+
+
+def claim_values(claims: DataFrame, prop: str) -> DataFrame:
+    """``qid, values, first``: values of a property in order (``ord``), deprecated ones left out, and the first of them."""
+    c = claims.where((F.col("property") == prop) & ~F.coalesce(F.col("rank") == "deprecated", F.lit(False)))
+    ordered = F.transform(F.array_sort(F.collect_list(F.struct("ord", "value"))), lambda s: s["value"])
+    return c.groupBy("qid").agg(ordered.alias("values"), F.min_by("value", "ord").alias("first"))
+
+
+# Names of rulers in several languages.
+REGNAL = ["charles carl karl carlos carlo", "john jean johann juan giovanni", "henry henri heinrich enrique", "william guillaume wilhelm guillermo", "philip philippe philipp felipe", "louis ludwig luis luigi", "frederick friedrich federico frederik"]
+
+
+def regnal_variants(mention: Column) -> Column:
+    """Spellings of a ruler's name, the typed one first; other names give themselves only."""
+    t = F.split(F.trim(mention), r"\s+")
+    first, rest = F.lower(t[0]), F.array_join(F.slice(t, 2, 100), " ")
+    regnal = F.trim(mention).rlike(r"(?i)^\S+\s+([ivx]+\b|of\b)")
+    pairs = [x for row in REGNAL for n in row.split() for x in (F.lit(n), F.array(*[F.lit(m.capitalize()) for m in row.split() if m != n]))]
+    siblings = F.coalesce(F.create_map(*pairs)[first], F.array().cast("array<string>"))
+    return F.when(regnal, F.concat(F.array(F.trim(mention)), F.transform(siblings, lambda n: F.concat_ws(" ", n, rest)))).otherwise(F.array(F.trim(mention)))
+
+
+def two_pass(candidates: DataFrame, claims: DataFrame, properties: list[str], by: str = "mention_id") -> DataFrame:
+    """Decisions in two passes over ``by, qid, base`` (total without coherence): entities resolved first anchor the ambiguous ones.
+
+    The second pass looks at the ambiguous mentions only; what the first resolved stays.
+    """
+    first = decide(candidates.withColumn("total", F.col("base") + WEIGHTS["coherence"] * 0.3), by)
+    anchors = first.where("status = 'resolved'").select("qid").distinct()
+    open_ = candidates.join(first.where("status = 'ambiguous'").select(by), by, "left_semi")
+    again = coherence(open_, claims, anchors, properties)
+    second = decide(again.withColumn("total", F.col("base") + WEIGHTS["coherence"] * F.col("coherence")), by)
+    return first.where("status = 'resolved'").unionByName(second)

@@ -165,3 +165,22 @@ def expansion_lines(text: Column) -> Column:
 
 def cosine_of(a: str, b: str) -> Column:
     return cosine(F.col(a), F.col(b))
+
+
+def expanded_hybrid(vectors: DataFrame, docs: DataFrame, originals: DataFrame, expansions: DataFrame, limit: int = 10, factor: int = 5) -> DataFrame:
+    """``qid, id, score, rank, traces``: the original query and its variants, fused with traces and bonus.
+
+    originals   ``qid, query, q`` (text and vector); each gives a vector and a text list
+    expansions  ``qid, seq, type, query, q``: ``lex`` variants search the text, ``vec`` and ``hyde`` the vectors
+    """
+    variant = F.concat_ws("#", F.col("qid").cast("string"), F.col("seq").cast("string"))
+    every = originals.select("qid", F.lit(0).alias("seq"), F.lit("both").alias("type"), "query", "q").unionByName(expansions.select("qid", "seq", "type", "query", "q"))
+    every = every.withColumn("vid", variant)
+    label = F.when(F.col("type") == "lex", F.concat(F.lit("fts:"), F.substring("query", 1, 30))).otherwise(F.concat(F.lit("vec:"), "type", F.lit(":"), F.substring("query", 1, 25)))
+    names = every.select("vid", F.col("qid").alias("owner"), "type", label.alias("label"))
+    v = vector_topk(vectors, every.where("type <> 'lex'").select(F.col("vid").alias("qid"), "q"), factor * limit)
+    t = top(bm25(docs, every.where("type IN ('both', 'lex')").select(F.col("vid").alias("qid"), "query")), factor * limit)
+    lists = v.select("qid", "id", "rank", F.lit("vec").alias("side")).unionByName(t.select("qid", "id", "rank", F.lit("fts").alias("side")))
+    named = lists.join(F.broadcast(names), lists.qid == names.vid)
+    shown = F.when(F.col("type") == "both", F.concat(F.col("side"), F.lit(":original"))).otherwise(F.col("label"))
+    return top(rrf(named.select(F.col("owner").alias("qid"), shown.alias("list_label"), "rank", "id")), limit)
