@@ -5,7 +5,7 @@
 2. Document frequencies of these shingles are counted over the whole corpus; each passage orders its
    shingles by rarity.  A document that shares at least T of a passage's n shingles holds at least
    one of its n - T + 1 rarest, so only that necessary prefix starts a candidate.
-3. Length and position bound it: T shared shingles must lie inside at most two item-sized windows.
+3. Length and position bound it: T shared shingles must be there, inside at most two item-sized windows.
 4. Candidates are verified on the texts: words matched in the passage's order inside at most two
    item-sized windows, as a share of the passage's words.
 
@@ -78,6 +78,20 @@ class PassageIndex:
                 yield sid, i
 
 
+def near_enough(own: set[int], held: list[tuple[int, int]], length: int, need: int, window: float = WINDOW) -> bool:
+    """Positional bound: the two fullest windows together hold ``need`` different shingles of the passage.
+
+    Shingles are counted in blocks of a window's length; two neighbouring blocks hold any window.
+    """
+    size = max(1, int(window * length))
+    blocks: dict[int, set[int]] = defaultdict(set)
+    for s, i in held:
+        if s in own:
+            blocks[i // size].add(s)
+            blocks[i // size + 1].add(s)
+    return sum(sorted(map(len, blocks.values()))[-2:]) >= need
+
+
 def coverage(passage: list[str], doc: list[str], window: float = WINDOW) -> float:
     """Share of the passage's words found in its order inside at most two item-sized windows of ``doc``.
 
@@ -180,14 +194,10 @@ def leaks(corpus: DataFrame, key: str, text: str, items: DataFrame, item: str, p
     rare = rare.withColumn("need", F.ceil(F.col("n") * SHARE)).withColumn("prefix", F.col("order") <= F.col("n") - F.col("need") + 1)
     rare = F.broadcast(cut(rare.select("p", "shingle", "need", "words", "prefix")))
     shares = hits.join(rare, "shingle")
-    # position: shared shingles are counted in blocks of a window's length; two neighbours hold any window
-    block = F.floor(F.col("pos") / (F.col("words") * WINDOW))
-    per = shares.groupBy("doc", "p", "need", block.alias("block")).agg(F.collect_set("shingle").alias("held"), F.max(F.col("prefix").cast("int")).alias("starts"))
-    twice = per.select("doc", "p", "need", F.explode(F.array(F.col("block"), F.col("block") + 1)).alias("block"), "held", "starts")
-    win = twice.groupBy("doc", "p", "need", "block").agg(F.size(F.array_distinct(F.flatten(F.collect_list("held")))).alias("held"), F.max("starts").alias("starts"))
-    best = win.groupBy("doc", "p", "need").agg(F.slice(F.sort_array(F.collect_list("held"), False), 1, 2).alias("top"), F.max("starts").alias("starts"))
-    picked = best.where((F.col("starts") == 1) & (F.aggregate("top", F.lit(0), lambda a, x: a + x) >= F.col("need")))
-    chosen = cut(picked.groupBy("doc").agg(F.collect_list("p").alias("ps")))
+    # length: at least the needed number of shared shingles, one of them in the prefix; each row is
+    # combined where the document was read, so little is shuffled
+    counted = shares.groupBy("doc", "p", "need").agg(F.count("*").alias("held"), F.max(F.col("prefix").cast("int")).alias("starts"))
+    chosen = cut(counted.where("starts = 1 AND held >= need").groupBy("doc").agg(F.collect_list(F.struct("p", "need")).alias("ps")))
 
     def verify(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         idx = shared.value
@@ -195,7 +205,11 @@ def leaks(corpus: DataFrame, key: str, text: str, items: DataFrame, item: str, p
             out = []
             for d, t, ps in zip(batch["doc"], batch["text"], batch["ps"]):
                 w = words(t)
-                out += [(d, int(p), c) for p in ps if (c := coverage(idx.words[p], w)) >= cover]
+                held = list(idx.positions(w))
+                for x in ps:
+                    p = int(x["p"])
+                    if near_enough(idx.at[p], held, len(idx.words[p]), x["need"]) and (c := coverage(idx.words[p], w)) >= cover:
+                        out.append((d, p, c))
             yield pd.DataFrame(out, columns=["doc", "p", "coverage"])
 
     found = docs.join(chosen, "doc").mapInPandas(verify, f"doc {kind}, p int, coverage double")
