@@ -35,11 +35,11 @@ LINE_PART_KEEP = ent.Reference("lines", "lines", "part", array=True, sub_field="
 _LINES = "lines AS (SELECT l_orderkey AS id, list({'line': l_linenumber, 'part_id': l_partkey} ORDER BY l_linenumber, l_partkey) AS lines FROM lineitem GROUP BY 1)"
 
 
-@register("SELECT CAST(o_custkey AS VARCHAR) AS target_id, 'orders' AS source_type, 'customer_id' AS field, CAST(o_orderkey AS VARCHAR) AS id FROM orders WHERE o_custkey % 100 = 7 UNION SELECT CAST(l_partkey AS VARCHAR), 'lines', 'lines', CAST(l_orderkey AS VARCHAR) FROM lineitem WHERE l_partkey % 100 = 7")
+@register("SELECT CAST(o_custkey AS VARCHAR) AS target_id, 'orders' AS source_type, 'customer_id' AS field, CAST(o_orderkey AS VARCHAR) AS id FROM orders UNION SELECT CAST(l_partkey AS VARCHAR), 'lines', 'lines', CAST(l_orderkey AS VARCHAR) FROM lineitem")
 def find_refs(spark, d):
-    """Who refers to the customers and parts whose key ends in 07 (the asked records; all referring rows are read)."""
-    c = _customers(spark, d).where("id % 100 = 7").select(F.lit("customer").alias("target_type"), F.col("id").alias("target_id"))
-    p = table(spark, d, "part").where("p_partkey % 100 = 7").select(F.lit("part").alias("target_type"), F.col("p_partkey").alias("target_id"))
+    """Who refers to each customer and each part."""
+    c = _customers(spark, d).select(F.lit("customer").alias("target_type"), F.col("id").alias("target_id"))
+    p = table(spark, d, "part").select(F.lit("part").alias("target_type"), F.col("p_partkey").alias("target_id"))
     return ent.find_references({"orders": _orders(spark, d), "lines": _lines(spark, d)}, [ORDER_CUSTOMER, LINE_PART], c.unionByName(p))
 
 
@@ -75,12 +75,12 @@ def merge_relink_array_keep(spark, d):
     return out.select("id", F.concat_ws(",", F.transform("lines", lambda s: F.concat_ws(":", s["line"], s["part_id"]))).alias("parts"))
 
 
-@register("SELECT CAST(c_custkey AS VARCHAR) AS id, count(*) AS refs FROM customer JOIN orders ON o_custkey = c_custkey WHERE c_custkey % 5 = 0 GROUP BY 1")
+@register("SELECT CAST(c_custkey AS VARCHAR) AS id, count(*) AS refs FROM customer JOIN orders ON o_custkey = c_custkey WHERE c_acctbal < 0 GROUP BY 1")
 def delete_guard(spark, d):
-    """Customers asked to be deleted (key divisible by 5) that orders still refer to."""
-    c = _customers(spark, d).select(F.col("id").cast("string").alias("id"), F.col("id").alias("k"))
+    """Customers to be deleted (negative balance) that orders still refer to."""
+    c = _customers(spark, d).select(F.col("id").cast("string").alias("id"), "balance")
     refs = ent.reference_ids(_orders(spark, d), ORDER_CUSTOMER).withColumnRenamed("id", "source_id")
-    return ent.guarded_delete(c, c.where("k % 5 = 0").select("id"), refs)[1].select("id", F.col("references").alias("refs"))
+    return ent.guarded_delete(c, c.where("balance < 0").select("id"), refs)[1].select("id", F.col("references").alias("refs"))
 
 
 @register("SELECT qid AS target_id, count(*) AS n FROM (SELECT lower(trim(target_id)) AS t FROM entity_refs WHERE lower(trim(target_type)) = 'entity') JOIN kb_candidates ON lower(qid) = t GROUP BY qid")
