@@ -70,6 +70,16 @@ class PassageIndex:
                 s = self.ids.setdefault(tuple(w[i : i + SHINGLE]), len(self.ids))
                 self.at[p].add(s)
 
+    def parts(self) -> tuple:
+        """Plain data: a broadcast names classes by module, which executors needn't have."""
+        return self.words, self.ids, dict(self.at)
+
+    @classmethod
+    def of(cls, parts: tuple) -> PassageIndex:
+        new = cls({})
+        new.words, new.ids, new.at = parts
+        return new
+
     def positions(self, w: list[str]) -> Iterator[tuple[int, int]]:
         get = self.ids.get
         for i, s in enumerate(zip(*[w[k:] for k in range(SHINGLE)])):
@@ -174,12 +184,12 @@ def leaks(corpus: DataFrame, key: str, text: str, items: DataFrame, item: str, p
     distinct = sorted(set(rows["passage"]))
     number = {t: n for n, t in enumerate(distinct)}
     index = PassageIndex(dict(enumerate(distinct)))
-    shared = spark.sparkContext.broadcast(index)
+    shared = spark.sparkContext.broadcast(index.parts())
     kind = corpus.schema[key].dataType.simpleString()
     docs = corpus.where(F.length(text) > 0).select(F.col(key).alias("doc"), F.col(text).alias("text"))
 
     def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        idx = shared.value
+        idx = PassageIndex.of(shared.value)
         for batch in batches:
             out = [(d, s, i) for d, t in zip(batch["doc"], batch["text"]) for s, i in idx.positions(words(t))]
             yield pd.DataFrame(out, columns=["doc", "shingle", "pos"])
@@ -200,7 +210,7 @@ def leaks(corpus: DataFrame, key: str, text: str, items: DataFrame, item: str, p
     chosen = cut(counted.where("starts = 1 AND held >= need").groupBy("doc").agg(F.collect_list(F.struct("p", "need")).alias("ps")))
 
     def verify(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        idx = shared.value
+        idx = PassageIndex.of(shared.value)
         for batch in batches:
             out = []
             for d, t, ps in zip(batch["doc"], batch["text"], batch["ps"]):
