@@ -391,13 +391,12 @@ _CAND = f"{_NAMES}, parts AS (SELECT DISTINCT qid, unnest(string_split(name, ' '
 
 
 def _candidates(spark, d):
-    """Scored candidates: entities that share a rare name part with the mention; anchors are the entities referred to elsewhere."""
+    """Scored candidates: all entities that share a name part with the mention; anchors are the entities referred to elsewhere."""
     k = table(spark, d, "kb_candidates")
     names = k.select("qid", F.explode(F.concat(F.array("label"), F.coalesce("aliases", F.array().cast("array<string>")))).alias("name")).where("name <> ''")
     parts = names.select("qid", F.explode(F.split(F.lower(F.trim("name")), " ")).alias("part")).distinct()
-    rare = parts.groupBy("part").agg(F.count("*").alias("n")).where("n <= 8").select("part")
     asked = table(spark, d, "resolutions").where("mention IS NOT NULL").select("res_id", F.lower("type_hint").alias("hint"), F.explode(F.split(F.lower(F.trim("mention")), " ")).alias("part")).distinct()
-    cand = asked.join(rare, "part").join(parts, "part").select("res_id", "hint", "qid").distinct()
+    cand = asked.join(parts, "part").select("res_id", "hint", "qid").distinct()
     anchors = table(spark, d, "entity_refs").where("lower(trim(target_type)) = 'entity'").select(F.lower(F.trim("target_id")).alias("q")).distinct()
     both = cand.join(k.select("qid", "type_hint", "rank"), "qid").join(anchors, F.lower("qid") == F.col("q"), "left")
     scores = {
