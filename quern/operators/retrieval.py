@@ -48,13 +48,14 @@ def bm25(docs: DataFrame, queries: DataFrame, stem: Callable[[Column], Column] |
 
     Corpus statistics are global: number of texts that aren't null, mean length over them, document
     frequencies.  A term whose weight isn't positive counts 1e-6.  Only postings of asked terms are
-    joined.  A query without usable terms finds nothing.
+    joined.  A query without usable terms finds nothing.  Texts are spread by id first, so the scores
+    of many queries add up where the postings are.
     """
     words = F.flatten(F.transform(query_terms(F.col("query")), lambda w: tokens(w)))
     asked = queries.select("qid", F.explode(F.array_distinct(stem(words) if stem else words)).alias("term"))
     spoken = docs.where("content IS NOT NULL")
     stats = spoken.agg(F.count("*").cast("double").alias("n"), F.avg(F.size(tokens(F.col("content")))).alias("avgdl"))
-    hit = postings(spoken, stem).join(F.broadcast(asked.select("term").distinct()), "term")
+    hit = postings(spoken.repartition("id"), stem).join(F.broadcast(asked.select("term").distinct()), "term")
     df = hit.groupBy("term").agg(F.count("*").cast("double").alias("df"))
     idf = F.log((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     part = F.greatest(idf, F.lit(1e-6)) * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))

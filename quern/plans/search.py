@@ -11,7 +11,7 @@ from quern.session import table
 
 from .registry import register
 
-QUERY_IDS = (0, 1, 2, 3, 4)
+ASKED = "id % 50 = 0"  #: the rows that searches ask for
 TEXTS = ((0, "missing whitening matrix"), (1, "novelty score and NOT the ledger"), (2, "Archivkasten Zwischenspeicher"), (3, "postings list 42"), (4, "zzzz nothing here qqqq"))
 
 # SQL fragments shared by the twins
@@ -35,7 +35,7 @@ def vectors(spark, d):
 
 
 def vector_queries(spark, d):
-    return vectors(spark, d).where(F.col("id").isin(*QUERY_IDS)).select(F.col("id").alias("qid"), F.col("embedding").alias("q"))
+    return vectors(spark, d).where(ASKED).select(F.col("id").alias("qid"), F.col("embedding").alias("q"))
 
 
 def docs(spark, d):
@@ -46,6 +46,11 @@ def text_queries(spark):
     return spark.createDataFrame(list(TEXTS), "qid int, query string")
 
 
+def doc_queries(spark, d):
+    """Texts of the asked documents; in hybrid searches a row's text goes with its vector."""
+    return docs(spark, d).where(ASKED).where("content IS NOT NULL").select(F.col("id").alias("qid"), F.col("content").alias("query"))
+
+
 @register(f"WITH {SCORES} {topk('scored', 10)}")
 def vec_topk(spark, d):
     return retrieval.vector_topk(vectors(spark, d), vector_queries(spark, d))
@@ -69,7 +74,7 @@ def vec_topk_batch(spark, d):
 @register(f"WITH u AS (SELECT vec_id AS id, {UNIT.format(v='embedding[1:32]')} AS u FROM embeddings), scored AS (SELECT q.id AS qid, c.id, round(list_inner_product(q.u, c.u), 6) AS score FROM u q, u c WHERE q.id IN (0, 1, 2, 3, 4)) {topk('scored', 10)}")
 def matryoshka_topk(spark, d):
     v = vectors(spark, d).select("id", truncate(F.col("embedding"), 32).alias("embedding"))
-    return retrieval.vector_topk(v, v.where(F.col("id").isin(*QUERY_IDS)).select(F.col("id").alias("qid"), F.col("embedding").alias("q")))
+    return retrieval.vector_topk(v, v.where(ASKED).select(F.col("id").alias("qid"), F.col("embedding").alias("q")))
 
 
 @register(f"WITH {units()}, e AS (SELECT unnest(u) AS x, generate_subscripts(u, 1) - 1 AS i FROM u) SELECT CAST(i AS INTEGER) AS i, round(avg(x), 6) AS x FROM e GROUP BY i")
@@ -122,7 +127,7 @@ fused AS (SELECT qid, id, round(sum(1.0 / (60 + rank)), 6) AS score FROM lists G
 
 @register(f"WITH {_HYBRID} SELECT f.qid, f.id, f.score, f.rank, coalesce(d.text, '') AS content FROM ({topk('fused', 10)}) f LEFT JOIN documents d ON d.doc_id = f.id")
 def hybrid_rrf(spark, d):
-    return retrieval.hybrid(vectors(spark, d), docs(spark, d), vector_queries(spark, d), text_queries(spark))
+    return retrieval.hybrid(vectors(spark, d), docs(spark, d), vector_queries(spark, d), doc_queries(spark, d))
 
 
 _LISTS = """lists AS (
@@ -161,7 +166,7 @@ b AS (SELECT qid, id, CASE WHEN max(score) OVER w > min(score) OVER w THEN (scor
 @register(f"WITH {_CONVEX} SELECT qid, id, round(0.3 * coalesce(a, 0) + 0.7 * coalesce(b, 0), 6) AS score FROM a FULL JOIN b USING (qid, id)")
 def convex_fusion(spark, d):
     v = retrieval.vector_topk(vectors(spark, d), vector_queries(spark, d), 50).select("qid", "id", "score")
-    t = retrieval.top(retrieval.bm25(docs(spark, d), text_queries(spark)), 50).select("qid", "id", "score")
+    t = retrieval.top(retrieval.bm25(docs(spark, d), doc_queries(spark, d)), 50).select("qid", "id", "score")
     return retrieval.convex(v, t, 0.3)
 
 

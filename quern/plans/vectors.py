@@ -8,7 +8,7 @@ from quern.operators import graphs, metrics, retrieval, similarity
 from quern.session import cut, table
 
 from .registry import register
-from .search import topk, units, vector_queries, vectors
+from .search import ASKED, topk, units, vector_queries, vectors
 
 THETA = 0.35  #: on these vectors the usual thresholds find nothing
 PAIRS = f"{units()}, pairs AS (SELECT x.id AS a, y.id AS b, x.label AS la, y.label AS lb, round(list_inner_product(x.u, y.u), 6) AS score FROM u x JOIN u y ON x.id < y.id WHERE list_inner_product(x.u, y.u) >= {THETA})"
@@ -186,7 +186,7 @@ def retrieval_metrics(spark, d):
     """Rows of the query's label count as relevant."""
     v = vectors(spark, d)
     q = vector_queries(spark, d)
-    labels = v.where("id IN (0, 1, 2, 3, 4)").select(F.col("id").alias("qid"), "label")
+    labels = v.where(ASKED).select(F.col("id").alias("qid"), "label")
     relevant = labels.join(v.select("id", "label"), "label").select("qid", "id", F.lit(1).alias("rel"))
     return metrics.retrieval(retrieval.vector_topk(v, q), relevant)
 

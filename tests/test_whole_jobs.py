@@ -1,5 +1,8 @@
 """Queries do their whole job: small tables on which a cut would show."""
 
+import numpy as np
+import pytest
+
 from quern.plans import registry
 
 
@@ -20,3 +23,17 @@ def test_mentions_with_common_parts_only_are_decided(spark, tmp_path):
     assert sorted((r["res_id"], r["qid"]) for r in scored) == sorted((m, f"Q{i}") for m in (1, 2) for i in range(12))
     got = {r["res_id"]: (r["status"], r["score"]) for r in registry.queries()["resolver_decision"](spark, d).collect()}
     assert set(got) == {1, 2} and got[1] == ("resolved", max(r["total"] for r in scored if r["res_id"] == 1))
+
+
+@pytest.mark.parametrize("name", ["vec_topk", "vec_topk_filtered", "matryoshka_topk", "prf_topk", "retrieval_metrics", "hybrid_rrf", "convex_fusion"])
+def test_searches_ask_for_every_fiftieth_row(spark, tmp_path, name):
+    g = np.random.default_rng(7)
+    d = _write(
+        spark, tmp_path,
+        embeddings=([(i, i % 4, [float(x) for x in g.normal(size=64)]) for i in range(160)], "vec_id long, label int, embedding array<float>"),
+        documents=([(i, f"word{i % 9} text{i}", "en", "s", "c") for i in range(260)], "doc_id long, text string, lang string, source string, collection string"),
+    )
+    got = registry.queries()[name](spark, d).toPandas()
+    assert set(got["qid"]) == ({0, 50, 100, 150, 200, 250} if name in ("hybrid_rrf", "convex_fusion") else {0, 50, 100, 150})
+    if name == "hybrid_rrf":
+        assert {q: i for q, i, r in zip(got["qid"], got["id"], got["rank"]) if r == 1} == {q: q for q in range(0, 251, 50)}
