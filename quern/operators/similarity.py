@@ -101,7 +101,7 @@ def decayed_mean(score: Column, age_days: Column, decay: float) -> Column:
     return F.when(F.sum(w) < 1e-8, F.avg(score)).otherwise(F.sum(score * w) / F.sum(w))
 
 
-def novelty(index: DataFrame, queries: DataFrame, k: int | None = None, decay: float = 0.0, local: bool = False, specific: bool = False, mode: str = "library") -> DataFrame:
+def novelty(index: DataFrame, queries: DataFrame, k: int | None = None, decay: float = 0.0, local: bool = False, specific: bool = False, mode: str = "library", own: bool = False) -> DataFrame:
     """``qid, novelty, global, local``: how far each query lies from its nearest neighbours in the index.
 
     index    ``id, embedding, category, age`` (days); queries ``qid, q, category, specificity``
@@ -109,6 +109,7 @@ def novelty(index: DataFrame, queries: DataFrame, k: int | None = None, decay: f
     local    the same within the query's category; nothing in it leaves the global value
     specific blends 30 % of the distance to the corpus centroid and scales by the label
     mode     ``premultiply`` ranks cosine * decay instead of weighting after the ranking
+    own      the queries are rows of the index: each leaves out its own row (``id = qid``) when ranking
     The result is cut to [0, 1].
     """
     k = k or adaptive_k(index.count())
@@ -116,6 +117,8 @@ def novelty(index: DataFrame, queries: DataFrame, k: int | None = None, decay: f
     asked = queries.select("qid", unit(F.col("q")).alias("qu"), F.col("category").alias("qc"), "specificity")
     score = F.aggregate(F.zip_with("u", "qu", lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
     pairs = corpus.join(asked.select("qid", "qu", "qc"), F.size("u") == F.size("qu")).select("qid", "id", "qc", "c", "age", F.round(score, 6).alias("s"))
+    if own:
+        pairs = pairs.where("id <> qid")
     if mode == "premultiply":
         pairs = pairs.withColumn("s", F.round(F.col("s") * F.exp(-decay * F.coalesce("age", F.lit(0.0))), 6))
         decay = 0.0

@@ -74,9 +74,9 @@ def pair_cascade(spark, d):
 
 def _novelty_parts(spark, d):
     v = vectors(spark, d)
-    index = v.where("id % 50 <> 0").select("id", "embedding", F.col("label").alias("category"), (F.col("id") % 90).cast("double").alias("age"))
+    index = v.select("id", "embedding", F.col("label").alias("category"), (F.col("id") % 90).cast("double").alias("age"))
     spec = F.when(F.col("label") < 3, "measurable").when(F.col("label") < 6, "concrete").when(F.col("label") < 8, "vague")
-    return index, v.where("id % 50 = 0").select(F.col("id").alias("qid"), F.col("embedding").alias("q"), F.col("label").alias("category"), spec.alias("specificity"))
+    return index, v.where(ASKED).select(F.col("id").alias("qid"), F.col("embedding").alias("q"), F.col("label").alias("category"), spec.alias("specificity"))
 
 
 _NOV = f"""{units()}, k AS (SELECT CASE WHEN count(*) <= 50 THEN 1 WHEN count(*) <= 200 THEN 3 WHEN count(*) <= 1000 THEN 5 ELSE 10 END AS k FROM u WHERE id % 50 <> 0),
@@ -88,22 +88,22 @@ _CUT = "round(greatest(0, least(1, {})), 6)"
 
 @register(f"WITH {_NOV} SELECT qid, {_CUT.format('g')} AS novelty FROM gm")
 def novelty_global(spark, d):
-    return similarity.novelty(*_novelty_parts(spark, d)).select("qid", "novelty")
+    return similarity.novelty(*_novelty_parts(spark, d), own=True).select("qid", "novelty")
 
 
 @register(f"WITH {_NOV} SELECT qid, {_CUT.format('CASE WHEN l IS NULL THEN g ELSE 0.4 * g + 0.6 * l END')} AS novelty FROM gm LEFT JOIN lm USING (qid)")
 def novelty_local(spark, d):
-    return similarity.novelty(*_novelty_parts(spark, d), local=True).select("qid", "novelty")
+    return similarity.novelty(*_novelty_parts(spark, d), own=True, local=True).select("qid", "novelty")
 
 
 @register(f"WITH {_NOV} SELECT qid, {_CUT.format('gd')} AS novelty FROM gm")
 def novelty_decay(spark, d):
-    return similarity.novelty(*_novelty_parts(spark, d), decay=0.02).select("qid", "novelty")
+    return similarity.novelty(*_novelty_parts(spark, d), own=True, decay=0.02).select("qid", "novelty")
 
 
 @register(f"WITH {_NOV}, p AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY m DESC, id) AS r2 FROM (SELECT qid, id, round(s * exp(-0.02 * age), 6) AS m FROM s)) SELECT qid, {_CUT.format('1 - avg(m)')} AS novelty FROM p, k WHERE r2 <= k.k GROUP BY qid")
 def novelty_premultiplied(spark, d):
-    return similarity.novelty(*_novelty_parts(spark, d), decay=0.02, mode="premultiply").select("qid", "novelty")
+    return similarity.novelty(*_novelty_parts(spark, d), own=True, decay=0.02, mode="premultiply").select("qid", "novelty")
 
 
 @register(
@@ -111,7 +111,7 @@ def novelty_premultiplied(spark, d):
     f"SELECT qid, {_CUT.format('(0.7 * (CASE WHEN l IS NULL THEN g ELSE 0.4 * g + 0.6 * l END) + 0.3 * (1 - list_inner_product(u.u, m.m) / (greatest(sqrt(list_inner_product(u.u, u.u)), 1e-8) * greatest(sqrt(list_inner_product(m.m, m.m)), 1e-8)))) * CASE WHEN label < 3 THEN 1 WHEN label < 6 THEN 0.8 WHEN label < 8 THEN 0.3 ELSE 1 END')} AS novelty FROM gm LEFT JOIN lm USING (qid) JOIN u ON u.id = qid, m"
 )
 def novelty_specific(spark, d):
-    return similarity.novelty(*_novelty_parts(spark, d), local=True, specific=True).select("qid", "novelty")
+    return similarity.novelty(*_novelty_parts(spark, d), own=True, local=True, specific=True).select("qid", "novelty")
 
 
 _TWO = "two AS (SELECT a AS v, b AS w FROM pairs UNION SELECT b, a FROM pairs)"

@@ -37,3 +37,28 @@ def test_searches_ask_for_every_fiftieth_row(spark, tmp_path, name):
     assert set(got["qid"]) == ({0, 50, 100, 150, 200, 250} if name in ("hybrid_rrf", "convex_fusion") else {0, 50, 100, 150})
     if name == "hybrid_rrf":
         assert {q: i for q, i, r in zip(got["qid"], got["id"], got["rank"]) if r == 1} == {q: q for q in range(0, 251, 50)}
+
+
+@pytest.mark.parametrize("name", ["novelty_global", "novelty_local", "novelty_decay", "novelty_premultiplied", "novelty_specific"])
+def test_novelty_compares_with_all_other_rows(spark, tmp_path, name):
+    g = np.random.default_rng(7)
+    x = g.normal(size=(120, 64)).astype("float32").astype(float)
+    x[50] = x[0]  # a copy whose id is divisible by 50 as well
+    d = _write(spark, tmp_path, embeddings=([(i, i % 4 if i % 50 else 0, v.tolist()) for i, v in enumerate(x)], "vec_id long, label int, embedding array<float>"))
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    label, age = np.array([i % 4 if i % 50 else 0 for i in range(120)]), np.arange(120) % 90
+    got = {r["qid"]: r["novelty"] for r in registry.queries()[name](spark, d).collect()}
+    assert set(got) == {0, 50, 100}
+    for q in got:
+        rows = np.flatnonzero(np.arange(120) != q)
+        s, w = u[rows] @ u[q], np.exp(-0.02 * age[rows])
+        if name == "novelty_premultiplied":
+            s = s * w
+        near = np.argsort(-s)[:3]  # three neighbours count in an index of 51 to 200
+        value = 1 - np.average(s[near], weights=w[near] if name == "novelty_decay" else None)
+        if name in ("novelty_local", "novelty_specific"):
+            value = 0.4 * value + 0.6 * (1 - np.sort(s[label[rows] == label[q]])[-3:].mean())
+        if name == "novelty_specific":
+            m = u.mean(0)
+            value = 0.7 * value + 0.3 * (1 - u[q] @ m / np.linalg.norm(m))
+        assert got[q] == pytest.approx(min(1, max(0, value)), abs=2e-6)
