@@ -142,26 +142,28 @@ def ancestors(edges: DataFrame) -> DataFrame:
 
 
 def hierarchy(nodes: DataFrame, edges: DataFrame, closure: DataFrame) -> DataFrame:
-    """``g, n, depth, path, roots, n_ancestors, n_descendants, cyclic`` of every node.
+    """``g, n, depth, path, paths, roots, n_ancestors, n_descendants, cyclic`` of every node.
 
     ``roots`` are the ancestors (or the node) without parents, sorted; ``depth`` counts the links of
     the shortest way from a root and ``path`` is that way, the smallest by node key if there are
-    several; both are null where no root leads to the node.  ``cyclic``: the node lies on a cycle.
+    several; both are null where no root leads to the node.  ``paths`` holds the same for each of its
+    roots, as structs (root, depth, path) by root.  ``cyclic``: the node lies on a cycle.
     """
     up = closure.groupBy("g", F.col("d").alias("n")).agg(F.count("*").alias("n_ancestors"), F.max((F.col("a") == F.col("d")).cast("int")).alias("c"))
     down = closure.where("a <> d").groupBy("g", F.col("a").alias("n")).agg(F.count("*").alias("n_descendants"))
     tops = nodes.select("g", "n").join(edges.select("g", F.col("c").alias("n")).hint("merge"), ["g", "n"], "left_anti")
-    seen = cut(tops.select("g", "n", F.lit(0).alias("depth"), F.col("n").alias("path")))
+    seen = cut(tops.select("g", "n", F.col("n").alias("root"), F.lit(0).alias("depth"), F.col("n").alias("path")))
     front, every = seen, seen
     while not front.isEmpty():
-        step = front.select("g", F.col("n").alias("p"), "depth", "path").join(edges.hint("merge"), ["g", "p"])
-        step = step.join(every.select("g", F.col("n").alias("c")).hint("merge"), ["g", "c"], "left_anti")
-        front = cut(step.groupBy("g", F.col("c").alias("n")).agg((F.min("depth") + 1).alias("depth"), F.min(F.concat_ws(" > ", "path", "c")).alias("path")))
+        step = front.select("g", "root", F.col("n").alias("p"), "depth", "path").join(edges.hint("merge"), ["g", "p"])
+        step = step.join(every.select("g", "root", F.col("n").alias("c")).hint("merge"), ["g", "root", "c"], "left_anti")
+        front = cut(step.groupBy("g", "root", F.col("c").alias("n")).agg((F.min("depth") + 1).alias("depth"), F.min(F.concat_ws(" > ", "path", "c")).alias("path")))
         every = every.unionByName(front)
+    ways = every.groupBy("g", "n").agg(F.min(F.struct("depth", "path")).alias("w"), F.array_sort(F.collect_list(F.struct("root", "depth", "path"))).alias("paths")).select("g", "n", "w.depth", "w.path", "paths")
     roots = tops.select("g", F.col("n").alias("a")).join(closure.hint("merge"), ["g", "a"]).groupBy("g", F.col("d").alias("n")).agg(F.sort_array(F.collect_set("a")).alias("r"))
-    out = nodes.select("g", "n").join(every.hint("merge"), ["g", "n"], "left").join(up.hint("merge"), ["g", "n"], "left").join(down.hint("merge"), ["g", "n"], "left").join(roots.hint("merge"), ["g", "n"], "left")
+    out = nodes.select("g", "n").join(ways.hint("merge"), ["g", "n"], "left").join(up.hint("merge"), ["g", "n"], "left").join(down.hint("merge"), ["g", "n"], "left").join(roots.hint("merge"), ["g", "n"], "left")
     return out.select(
-        "g", "n", "depth", "path",
+        "g", "n", "depth", "path", F.coalesce("paths", F.array().cast("array<struct<root: string, depth: int, path: string>>")).alias("paths"),
         F.concat_ws(",", F.coalesce("r", F.when(F.col("depth") == 0, F.array("n")), F.array().cast("array<string>"))).alias("roots"),
         F.coalesce("n_ancestors", F.lit(0)).alias("n_ancestors"), F.coalesce("n_descendants", F.lit(0)).alias("n_descendants"), (F.coalesce("c", F.lit(0)) == 1).alias("cyclic"),
     )

@@ -62,11 +62,11 @@ def p4_found(spark, d):
 
 @register()
 def p4_hierarchy(spark, d):
-    """Depth, path, roots and counts of every node; cycles are reported in ``cyclic``."""
+    """Depth, nearest path, a path from each root, roots and counts of every node; cycles are reported in ``cyclic``."""
     nodes, edges = _graph(spark, d)
     edges = cut(edges)
     out = hierarchy.hierarchy(nodes, edges, cut(hierarchy.ancestors(edges)))
-    return out.select(F.col("g").alias("graph_id"), F.col("n").alias("node_id"), "depth", "path", "roots", "n_ancestors", "n_descendants", "cyclic")
+    return out.select(F.col("g").alias("graph_id"), F.col("n").alias("node_id"), "depth", "path", "paths", "roots", "n_ancestors", "n_descendants", "cyclic")
 
 
 def _references(spark, d):
