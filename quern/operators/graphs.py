@@ -72,14 +72,14 @@ def betweenness(edges: DataFrame, sources: DataFrame) -> DataFrame:
     return out.groupBy("v").agg(F.round(F.sum("d"), 6).alias("score"))
 
 
-def shortest_path(edges: DataFrame, start, end, most: int = 64) -> list:
+def shortest_path(edges: DataFrame, start, end) -> list:
     """One shortest path as a list of vertices (smallest ids first), or an empty list; the frontier stays distributed."""
     two = cut(both_ways(edges))
     spark = edges.sparkSession
     kind = two.schema["v"].dataType.simpleString()
     front = spark.createDataFrame([(start, [start])], f"v {kind}, path array<{kind}>")
     seen = front.select("v")
-    for _ in range(most):
+    while True:
         hit = front.where(F.col("v") == F.lit(end)).first()
         if hit:
             return list(hit["path"])
@@ -88,7 +88,6 @@ def shortest_path(edges: DataFrame, start, end, most: int = 64) -> list:
         if front.isEmpty():
             return []
         seen = seen.unionByName(front.select("v"))
-    return []
 
 
 def cluster_agreement(a: DataFrame, b: DataFrame) -> DataFrame:

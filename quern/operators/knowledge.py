@@ -267,21 +267,26 @@ def clean_nodes(nodes: DataFrame) -> DataFrame:
     return out.withColumn("prerequisites", F.coalesce("kept", F.array().cast("array<string>"))).drop("kept").fillna({"level": 2, "obscurity": 3})
 
 
-def break_cycles(edges: DataFrame, rounds: int = 100) -> DataFrame:
-    """``g, p, c`` without cycles: each round every cyclic component's greatest node gives up its greatest cyclic prerequisite."""
+def break_cycles(edges: DataFrame) -> DataFrame:
+    """``g, p, c`` without cycles: each round every cyclic component's greatest node gives up its greatest cyclic prerequisite.
+
+    A component is what lies on cycles through one another (strongly connected).  Each round removes
+    a link of every one of them, so the rounds end when no node lies on a cycle.
+    """
     from quern.operators.hierarchy import ancestors
     from quern.session import cut
 
     live = cut(edges.select("g", "p", "c").distinct())
-    for _ in range(rounds):
-        up = ancestors(live)
-        on = cut(up.where("a = d").select("g", F.col("a").alias("c")))
-        if on.isEmpty():
-            break
-        inner = live.join(on, ["g", "c"]).join(up.select("g", F.col("a").alias("c"), F.col("d").alias("p")), ["g", "c", "p"], "left_semi")
-        last = inner.groupBy("g").agg(F.max(F.struct("c", "p")).alias("x")).select("g", "x.c", "x.p")
+    while True:
+        up = cut(ancestors(live))
+        back = up.select("g", F.col("a").alias("d"), F.col("d").alias("a"))
+        # of nodes above each other, the greatest names the component
+        part = cut(up.join(back, ["g", "a", "d"]).groupBy("g", F.col("a").alias("c")).agg(F.max("d").alias("s")))
+        if part.isEmpty():
+            return live
+        inner = live.join(part, ["g", "c"]).join(part.select("g", F.col("c").alias("p"), "s"), ["g", "p", "s"])
+        last = inner.groupBy("g", "s").agg(F.max(F.struct("c", "p")).alias("x")).select("g", "x.p", "x.c")
         live = cut(live.join(last, ["g", "p", "c"], "left_anti"))
-    return live
 
 
 def probe_kind(asked: Column, candidates: Column, belief: Column) -> Column:
