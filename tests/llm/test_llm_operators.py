@@ -132,13 +132,25 @@ def test_stuffed_pages(spark):
     prose = lambda: " ".join(f"The {r.choice(voc)} of {r.choice(voc)} {r.choice(voc)}s with the {r.choice(voc)} and it has a {r.choice(voc)}." for _ in range(9))
     docs = [(i, prose(), "en") for i in range(200)]
     docs += [(900, " ".join(r.choice(["gold", "ring", "buy"]) for _ in range(150)), "en"), (901, "\n".join(f"http://{v}.test/{i}" for i, v in enumerate(voc[:40])), None), (902, " ".join(f"#{a}{b}" for a, b in zip(voc, voc[::-1])), "en")]
-    docs += [(903, "\n".join(f"- {v}: the {r.choice(voc)} of a {r.choice(voc)} that is in {r.choice(voc)}" for v in voc[:40]), "en"), (904, None, "en"), (905, "", "en"), (906, "word", None)]
+    docs += [(903, "\n".join(f"- {v}: the {r.choice(voc)} of a {r.choice(voc)} that is in {r.choice(voc)}" for v in voc[:40]), "en"), (904, None, "en"), (905, "", "en"), (906, "word", None), (907, "https://a.b/c https://d.e/f", "en"), (908, " \t", "xx")]
     df = spark.createDataFrame(docs, "doc_id long, text string, lang string")
     got = {x["doc_id"] for x in stuffing.stuffed(df, "doc_id", "text", "lang").collect()}
-    assert got == {900, 901, 902}
+    assert got == {900, 901, 902, 907}
     assert stuffing.stuffed(df.limit(0), "doc_id", "text", "lang").count() == 0
 
 
+def test_the_distance_decides_about_pages(spark):
+    """Pages in a spam-directed direction that don't lie far out are no spam: without the distance more would be flagged."""
+    r = random.Random(5)
+    voc = [a + b + c + d for a in ("re", "mo", "ta", "li") for b in ("ka", "ne", "so", "du") for c in ("to", "me", "si", "ga", "ve") for d in ("n", "rt", "x", "ck", "lm")]
+    prose = lambda n: [w for _ in range(n) for w in ("the", r.choice(voc), "of", "a", r.choice(voc), "is", r.choice(voc))]
+    docs = [(i, " ".join(prose(r.randrange(8, 20)) + [r.choice(voc) for _ in range(r.choice([0, 4, 12]))])) for i in range(300)]
+    docs += [(1000 + i, " ".join(prose(6) + [r.choice(voc[: 8 + i]) for _ in range(30)])) for i in range(20)] + [(2000 + i, " ".join(r.choice(voc[:3]) for _ in range(200))) for i in range(5)]
+    df = spark.createDataFrame(docs, "doc_id long, text string").selectExpr("*", "'en' AS lang")
+    near, far = ({x["doc_id"] for x in stuffing.stuffed(df, "doc_id", "text", "lang", far=f, directed=1.0).collect()} for f in (0.0, stuffing.FAR))
+    assert far < near and {x for x in far if x >= 2000} == set(range(2000, 2005))
+
+
 @pytest.mark.parametrize("n", [1, 3, 60])
 def test_graph_of_few_points(n):
     from quern.llm.graph_index import ShardGraph
