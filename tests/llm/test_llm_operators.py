@@ -145,9 +145,9 @@ def test_the_distance_decides_about_pages(spark):
     voc = [a + b + c + d for a in ("re", "mo", "ta", "li") for b in ("ka", "ne", "so", "du") for c in ("to", "me", "si", "ga", "ve") for d in ("n", "rt", "x", "ck", "lm")]
     prose = lambda n: [w for _ in range(n) for w in ("the", r.choice(voc), "of", "a", r.choice(voc), "is", r.choice(voc))]
     docs = [(i, " ".join(prose(r.randrange(8, 20)) + [r.choice(voc) for _ in range(r.choice([0, 4, 12]))])) for i in range(300)]
-    docs += [(1000 + i, " ".join(prose(6) + [r.choice(voc[: 8 + i]) for _ in range(30)])) for i in range(20)] + [(2000 + i, " ".join(r.choice(voc[:3]) for _ in range(200))) for i in range(5)]
+    docs += [(1000 + i, " ".join(prose(12) + [r.choice(voc[: 2 + i]) for _ in range(6 + i)])) for i in range(20)] + [(2000 + i, " ".join(r.choice(voc[:3]) for _ in range(200))) for i in range(5)]
     df = spark.createDataFrame(docs, "doc_id long, text string").selectExpr("*", "'en' AS lang")
-    near, far = ({x["doc_id"] for x in stuffing.stuffed(df, "doc_id", "text", "lang", far=f, directed=1.0).collect()} for f in (0.0, stuffing.FAR))
+    near, far = ({x["doc_id"] for x in stuffing.stuffed(df, "doc_id", "text", "lang", far=f, directed=0.0).collect()} for f in (0.0, stuffing.FAR))
     assert far < near and {x for x in far if x >= 2000} == set(range(2000, 2005))
 
 
