@@ -1,16 +1,18 @@
 """Evaluation passages inside a training corpus: prefix-filtered set join with exact verification.
 
-1. Shingles of ``SHINGLE`` words of every passage form a dictionary (evaluation sets are small; the
-   size is checked).  One pass over the corpus reports where each document holds which of them.
-2. Document frequencies of these shingles are counted over the whole corpus; each passage orders its
-   shingles by rarity.  A document that shares at least T of a passage's n shingles holds at least
-   one of its n - T + 1 rarest, so only that necessary prefix starts a candidate.
-3. Length and position bound it: T shared shingles must be there, inside at most two item-sized windows.
-4. Candidates are verified on the texts: words matched in the passage's order inside at most two
-   item-sized windows, as a share of the passage's words.
-
-Wording may change slightly, so shingles are shorter and T lower than for near-duplicates; the
-threshold of half a passage applies to the exact step.
+1. Passages come in blocks of a bounded number of words; each block is one dictionary of shingles
+   (runs of ``SHINGLE`` words) that every task holds.  A larger evaluation set has more blocks.
+2. A pass over the corpus counts in how many documents each of these shingles occurs; each passage
+   orders its shingles by rarity.
+3. A document that shares at least T of a passage's n shingles holds one of its n - T + 1 rarest, so
+   only this necessary prefix is joined with the corpus's shingles.  The join happens where the
+   document is read; nothing but found pairs is shuffled.
+4. Candidates must hold T shingles (length), inside at most two item-sized windows (position).
+5. The rest are verified: words matched in the passage's order inside at most two item-sized windows,
+   as a share of the passage's words.
+
+Wording may change slightly, so shingles are shorter than for near-duplicates, and T lower: half a
+passage with one word in ten changed keeps 35 % of its three-word shingles, less some at its edges.
 """
 
 from __future__ import annotations
@@ -18,22 +20,21 @@ from __future__ import annotations
 import html
 import re
 import unicodedata
+from bisect import bisect_left
 from collections import defaultdict
 from collections.abc import Iterator
+from math import ceil
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
-
-from quern.session import cut
 
 SHINGLE = 3  #: words; a changed word breaks three shingles, not five
-SHARE = 0.12  #: share of a passage's shingles a candidate must hold (half a passage, a third of its words changed, keeps more)
+SHARE = 0.30  #: share of a passage's shingles that a candidate holds at least
 COVER = 0.40  #: share of a passage's words, in order and close together, that makes a leak ("about half")
 WINDOW = 1.5  #: length of a window in passages
-RUN = 3  #: matched runs shorter than this many words don't count: single words match anywhere
-MAX_PASSAGE_WORDS = 5_000_000  #: bound on what is broadcast, checked before
+BLOCK_CHARS = 6_000_000  #: characters of passages in one dictionary, about; bounds what tasks hold (at most a million different words)
 
 _TAG = re.compile(r"<[^<>]{0,200}>")
 _TAG_IN_NUMBER = re.compile(r"(?<=\d\.)<[^<>]{0,200}>(?=\d)")
@@ -58,95 +59,159 @@ def words(text: str | None) -> list[str]:
     return _WORD.findall(re.sub(r"(?<=\w)[_`.,'’](?=\w)", "", t.casefold()))
 
 
-class PassageIndex:
-    """Shingle dictionary of the evaluation passages; built on the driver, broadcast."""
-
-    def __init__(self, passages: dict[int, str]):
-        self.words = {p: words(t) for p, t in passages.items()}
-        self.ids: dict[tuple[str, ...], int] = {}
-        self.at: dict[int, set[int]] = defaultdict(set)
-        for p, w in self.words.items():
-            for i in range(len(w) - SHINGLE + 1):
-                s = self.ids.setdefault(tuple(w[i : i + SHINGLE]), len(self.ids))
-                self.at[p].add(s)
-
-    def parts(self) -> tuple:
-        """Plain data: a broadcast names classes by module, which executors needn't have."""
-        return self.words, self.ids, dict(self.at)
-
-    @classmethod
-    def of(cls, parts: tuple) -> PassageIndex:
-        new = cls({})
-        new.words, new.ids, new.at = parts
-        return new
+class Passages:
+    """Dictionary of one block of passages: shingles as numbers, their passages, and the prefix of each passage.
 
-    def positions(self, w: list[str]) -> Iterator[tuple[int, int]]:
-        get = self.ids.get
-        for i, s in enumerate(zip(*[w[k:] for k in range(SHINGLE)])):
-            sid = get(s)
-            if sid is not None:
-                yield sid, i
-
-
-def near_enough(own: set[int], held: list[tuple[int, int]], length: int, need: int, window: float = WINDOW) -> bool:
-    """Positional bound: the two fullest windows together hold ``need`` different shingles of the passage.
-
-    Shingles are counted in blocks of a window's length; two neighbouring blocks hold any window.
+    Plain arrays and dicts: a broadcast names classes by module, which executors needn't have.
     """
-    size = max(1, int(window * length))
-    blocks: dict[int, set[int]] = defaultdict(set)
-    for s, i in held:
-        if s in own:
-            blocks[i // size].add(s)
-            blocks[i // size + 1].add(s)
-    return sum(sorted(map(len, blocks.values()))[-2:]) >= need
-
 
-def coverage(passage: list[str], doc: list[str], window: float = WINDOW) -> float:
-    """Share of the passage's words found in its order inside at most two item-sized windows of ``doc``.
-
-    Runs of ``RUN`` equal words are the anchors; a chain of anchors that rises in both texts is
-    chosen in each window, the better window first, then the best other one over the rest.
+    def __init__(self, texts: list[str]):
+        self.vocabulary: dict[str, int] = {}
+        number = self.vocabulary
+        self.words = [np.array([number.setdefault(w, len(number)) for w in words(t)], dtype=np.int64) for t in texts]
+        self.codes = np.unique(np.concatenate([self._code(w) for w in self.words] or [np.zeros(0, np.int64)]))
+        self.shingles = [np.searchsorted(self.codes, self._code(w)) for w in self.words]
+        self.own = [np.unique(s) for s in self.shingles]
+        self.need = np.array([max(1, ceil(len(o) * SHARE)) for o in self.own], dtype=np.int64)
+        self.length = np.array([len(w) for w in self.words], dtype=np.int64)
+
+    def _code(self, ids: np.ndarray) -> np.ndarray:
+        """Shingle codes at each place; words unknown to the passages (-1) spoil their shingles."""
+        if len(ids) < SHINGLE:
+            return np.zeros(0, np.int64)
+        size = max(1, len(self.vocabulary))
+        parts = [ids[k : len(ids) - SHINGLE + 1 + k] for k in range(SHINGLE)]
+        code = parts[0]
+        for q in parts[1:]:
+            code = code * size + q
+        return np.where(np.min(parts, axis=0) < 0, -1, code)
+
+    def hits(self, texts: pd.Series) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Text, place and shingle of every shingle of the block in ``texts``, and each text's words."""
+        get = self.vocabulary.get
+        lists = [words(t) for t in texts]
+        size = np.array([len(w) for w in lists], dtype=np.int64)
+        # texts are kept apart by unknown words
+        ids = np.full(int(size.sum()) + SHINGLE * len(lists), -1, dtype=np.int64)
+        first = np.cumsum(size + SHINGLE) - size - SHINGLE
+        for at, w in zip(first, lists):
+            ids[at : at + len(w)] = [get(x, -1) for x in w]
+        code = self._code(ids)
+        sid = np.searchsorted(self.codes, code)
+        sid[sid == len(self.codes)] = 0
+        place = np.flatnonzero((code >= 0) & (self.codes[sid] == code)) if len(self.codes) else np.zeros(0, np.int64)
+        text = np.searchsorted(first, place, side="right") - 1
+        return text, place - first[text], sid[place], size
+
+    def order(self, frequency: np.ndarray) -> None:
+        """Prefixes by the document frequency of every shingle, and the passages of every shingle."""
+        rank = np.lexsort((np.arange(len(frequency)), frequency)).argsort()
+        prefix = [o[np.argsort(rank[o])][: max(0, len(o) - n + 1)] for o, n in zip(self.own, self.need)]
+        self.of_prefix, self.of_shingle = self._owners(prefix), self._owners(self.own)
+
+    def _owners(self, sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+        shingle = np.concatenate(sets or [np.zeros(0, np.int64)]).astype(np.int64)
+        passage = np.repeat(np.arange(len(sets)), [len(x) for x in sets])
+        by = np.argsort(shingle, kind="stable")
+        return np.searchsorted(shingle[by], np.arange(len(self.codes) + 1)), passage[by]
+
+
+def _joined(owners: tuple[np.ndarray, np.ndarray], shingle: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Row and passage of each shingle's passages."""
+    start, passage = owners
+    n = start[shingle + 1] - start[shingle]
+    row = np.repeat(np.arange(len(shingle)), n)
+    return row, passage[start[shingle][row] + np.arange(len(row)) - (np.cumsum(n) - n)[row]]
+
+
+def candidates(block: Passages, text: np.ndarray, place: np.ndarray, shingle: np.ndarray, size: np.ndarray) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    """Text, passage, places and shingles of the pairs that pass the prefix join and the bounds."""
+    count = len(block.need)
+    row, passage = _joined(block.of_prefix, shingle)
+    pairs = np.unique(text[row] * count + passage)
+    pairs = pairs[size[pairs // count] >= block.need[pairs % count] + SHINGLE - 1]
+    if not len(pairs):
+        return
+    row, passage = _joined(block.of_shingle, shingle)
+    pair = text[row] * count + passage
+    at = np.searchsorted(pairs, pair)
+    at[at == len(pairs)] = 0
+    kept = pairs[at] == pair
+    row, pair, passage = row[kept], pair[kept], passage[kept]
+    # length: different shingles held; position: those of the two fullest pairs of neighbouring blocks of a window's length
+    reach = np.maximum(1, (WINDOW * block.length[passage]).astype(np.int64)) + SHINGLE
+    cell = place[row] // reach
+    seen = np.unique(np.stack([np.concatenate([pair, pair]), np.concatenate([cell, cell + 1]), np.concatenate([shingle[row], shingle[row]])]), axis=1)
+    cells, held = np.unique(seen[:2], axis=1, return_counts=True)
+    by = np.lexsort((-held, cells[0]))
+    first = np.searchsorted(cells[0][by], pairs)
+    second = np.minimum(first + 1, len(by) - 1)
+    two = held[by[first]] + np.where((second > first) & (cells[0][by[second]] == pairs), held[by[second]], 0)
+    by_pair = np.argsort(pair, kind="stable")
+    lo, hi = np.searchsorted(pair[by_pair], pairs), np.searchsorted(pair[by_pair], pairs, side="right")
+    for k in np.flatnonzero(two >= block.need[pairs % count]):
+        rows = row[by_pair[lo[k] : hi[k]]]
+        if len(np.unique(shingle[rows])) >= block.need[pairs[k] % count]:
+            yield int(pairs[k] // count), int(pairs[k] % count), place[rows], shingle[rows]
+
+
+def coverage(passage: np.ndarray, n: int, place: np.ndarray, shingle: np.ndarray, window: float = WINDOW) -> float:
+    """Share of the passage's ``n`` words found in its order inside at most two item-sized windows of a text.
+
+    passage  shingle at each place of the passage; place, shingle  those of the text, by place.
+    A chain of equal shingles that rises in both texts is chosen in each window, the better window
+    first, then the best other one over the rest.  Windows are sought in pairs of neighbouring
+    blocks of their length; one that can't beat the best so far is left out, so the work grows with
+    the text's length.
     """
-    n = len(passage)
-    if n < RUN or len(doc) < RUN:
-        return 0.0
-    where: dict[tuple[str, ...], list[int]] = defaultdict(list)
-    for i, s in enumerate(zip(*[passage[k:] for k in range(RUN)])):
+    where: dict[int, list[int]] = defaultdict(list)
+    for i, s in enumerate(passage.tolist()):
         where[s].append(i)
-    hits = [(j, i) for j, s in enumerate(zip(*[doc[k:] for k in range(RUN)])) for i in where.get(s, ())]
-    if not hits:
-        return 0.0
-    span = int(window * n) + RUN
+    span = int(window * n) + SHINGLE
+    blocks: dict[int, list[tuple[int, int]]] = defaultdict(list)
+    for j, s in zip(place.tolist(), shingle.tolist()):
+        for i in where.get(s, ()):
+            blocks[j // span].append((j, i))
+            blocks[j // span - 1].append((j, i))
     covered: set[int] = set()
     for _ in range(2):
         best: set[int] = set()
-        lo = 0
-        usable = [h for h in hits if any(h[1] + k not in covered for k in range(RUN))]
-        starts = sorted({j for j, _ in usable})
-        for s in starts:
-            while lo < len(usable) and usable[lo][0] < s:
-                lo += 1
-            inside = []
-            for h in usable[lo:]:
-                if h[0] > s + span - RUN:
-                    break
-                inside.append(h)
-            if len(inside) + RUN - 1 <= len(best):
+        for b in sorted(blocks):
+            hits = [h for h in blocks[b] if not covered or any(h[1] + k not in covered for k in range(SHINGLE))]
+            if len({i + k for _, i in hits for k in range(SHINGLE)} - covered) <= len(best - covered):
                 continue
-            got = _chain(inside)
-            if len(got - covered) > len(best - covered):
-                best = got
+            for got in _windows(hits, span, covered, len(best - covered)):
+                if len(got - covered) > len(best - covered):
+                    best = got
         if not best - covered:
             break
         covered |= best
+        if len(covered) == n:
+            break
     return len(covered) / n
 
 
+def _windows(hits: list[tuple[int, int]], span: int, covered: set[int], least: int) -> Iterator[set[int]]:
+    """Chains of the windows of two blocks; one chain if all hits lie in one window."""
+    if hits[-1][0] - hits[0][0] <= span - SHINGLE:
+        yield _chain(hits)
+        return
+    hi = 0
+    for lo, (j, _) in enumerate(hits):
+        if lo and hits[lo - 1][0] == j:
+            continue
+        while hi < len(hits) and hits[hi][0] <= j + span - SHINGLE:
+            hi += 1
+        if hi - lo + SHINGLE - 1 > least:
+            got = _chain(hits[lo:hi])
+            least = max(least, len(got - covered))
+            yield got
+        if hi == len(hits):  # later windows hold parts of this one
+            return
+
+
 def _chain(hits: list[tuple[int, int]]) -> set[int]:
     """Passage positions covered by the longest chain of anchors rising in document and passage."""
-    from bisect import bisect_left
-
     tails: list[int] = []
     tail_at: list[int] = []
     back = [-1] * len(hits)
@@ -163,66 +228,75 @@ def _chain(hits: list[tuple[int, int]]) -> set[int]:
     out: set[int] = set()
     x = tail_at[-1] if tail_at else -1
     while x >= 0:
-        out.update(range(hits[x][1], hits[x][1] + RUN))
+        out.update(range(hits[x][1], hits[x][1] + SHINGLE))
         x = back[x]
     return out
 
 
-def leaks(corpus: DataFrame, key: str, text: str, items: DataFrame, item: str, passage: str, cover: float = COVER) -> DataFrame:
+def leaks(corpus: DataFrame, key: str, text: str, items: DataFrame, item: str, passage: str, cover: float = COVER, block_chars: int = BLOCK_CHARS) -> DataFrame:
     """``key, item, coverage``: one row for each document and each item whose passage it holds.
 
     Items with equal passages share their documents.  Null and empty texts and passages, and
     passages shorter than a shingle, match nothing; a document listed twice counts once; an empty
-    table gives no rows.  Whole texts are read; no corpus row is collected or broadcast.
+    table gives no rows.  Whole texts are read; no corpus row is collected or broadcast.  An
+    evaluation set of more than ``block_chars`` characters is searched for in several blocks.
     """
-    spark = corpus.sparkSession
-    passages = items.where(F.col(passage).isNotNull()).select(F.col(item).alias("item"), F.col(passage).alias("passage")).distinct()
+    passages = items.where(F.length(passage) > 0).select(F.col(item).alias("item"), F.col(passage).alias("passage")).distinct()
     total = passages.agg(F.coalesce(F.sum(F.length("passage")), F.lit(0))).first()[0]
-    if total > 6 * MAX_PASSAGE_WORDS:
-        raise ValueError(f"{total} characters of passages are too many to broadcast; split the evaluation set")
-    rows = passages.toPandas()
-    distinct = sorted(set(rows["passage"]))
-    number = {t: n for n, t in enumerate(distinct)}
-    index = PassageIndex(dict(enumerate(distinct)))
-    shared = spark.sparkContext.broadcast(index.parts())
-    kind = corpus.schema[key].dataType.simpleString()
     docs = corpus.where(F.length(text) > 0).select(F.col(key).alias("doc"), F.col(text).alias("text"))
-
-    def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        idx = PassageIndex.of(shared.value)
+    blocks = max(1, ceil(total / block_chars))
+    found = None
+    for b in range(blocks):
+        part = passages.where(F.pmod(F.xxhash64("passage"), F.lit(blocks)) == b)
+        got = _leaks_of(docs, part.toPandas(), cover)
+        found = got if found is None else found.unionByName(got)
+    names = passages.select("item", F.xxhash64("passage").alias("p"))
+    found = found.join(names if blocks > 1 else F.broadcast(names), "p")
+    return found.groupBy(F.col("doc").alias(key), F.col("item").alias(item)).agg(F.max("coverage").alias("coverage"))
+
+
+def _leaks_of(docs: DataFrame, rows: pd.DataFrame, cover: float) -> DataFrame:
+    """``doc, p, coverage`` for one block of passages; ``p`` is the passage's hash."""
+    spark = docs.sparkSession
+    kind = docs.schema["doc"].dataType.simpleString()
+    distinct = sorted(set(rows["passage"]))
+    block = Passages(distinct)
+    schema = f"doc {kind}, passage int, coverage double"
+    if not len(block.codes):
+        return spark.createDataFrame([], f"doc {kind}, p long, coverage double")
+    plain = spark.sparkContext.broadcast(vars(block))
+
+    def held() -> Passages:
+        mine = Passages.__new__(Passages)
+        vars(mine).update(plain.value)
+        return mine
+
+    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        mine = held()
+        df = np.zeros(len(mine.codes), dtype=np.int64)
         for batch in batches:
-            out = [(d, s, i) for d, t in zip(batch["doc"], batch["text"]) for s, i in idx.positions(words(t))]
-            yield pd.DataFrame(out, columns=["doc", "shingle", "pos"])
-
-    hits = cut(docs.mapInPandas(scan, f"doc {kind}, shingle int, pos int"))
-    frequency = hits.groupBy("shingle").agg(F.count_distinct("doc").alias("df"))
-    holds = [(p, s, len(at), len(index.words[p])) for p, at in index.at.items() for s in at]
-    if not holds:
-        return docs.select("doc").limit(0).select(F.col("doc").alias(key), F.lit(0).cast("long").alias(item), F.lit(0.0).alias("coverage"))
-    holds = spark.createDataFrame(pd.DataFrame(holds, columns=["p", "shingle", "n", "words"]))
-    rare = holds.join(frequency, "shingle").withColumn("order", F.row_number().over(Window.partitionBy("p").orderBy("df", "shingle")))
-    rare = rare.withColumn("need", F.ceil(F.col("n") * SHARE)).withColumn("prefix", F.col("order") <= F.col("n") - F.col("need") + 1)
-    rare = F.broadcast(cut(rare.select("p", "shingle", "need", "words", "prefix")))
-    shares = hits.join(rare, "shingle")
-    # length: at least the needed number of shared shingles, one of them in the prefix; each row is
-    # combined where the document was read, so little is shuffled
-    counted = shares.groupBy("doc", "p", "need").agg(F.count("*").alias("held"), F.max(F.col("prefix").cast("int")).alias("starts"))
-    chosen = cut(counted.where("starts = 1 AND held >= need").groupBy("doc").agg(F.collect_list(F.struct("p", "need")).alias("ps")))
-
-    def verify(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        idx = PassageIndex.of(shared.value)
+            doc, _, shingle, _ = mine.hits(batch["text"])
+            df += np.bincount(np.unique(doc * len(df) + shingle) % len(df), minlength=len(df))
+        at = np.flatnonzero(df)
+        yield pd.DataFrame({"shingle": at, "df": df[at]})
+
+    counted = docs.select("text").mapInPandas(count, "shingle long, df long").groupBy("shingle").agg(F.sum("df").alias("df")).toPandas()
+    frequency = np.zeros(len(block.codes), dtype=np.int64)
+    frequency[counted["shingle"]] = counted["df"]
+    block.order(frequency)
+    owners = spark.sparkContext.broadcast((block.of_prefix, block.of_shingle))
+
+    def search(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        mine = held()
+        mine.of_prefix, mine.of_shingle = owners.value
         for batch in batches:
-            out = []
-            for d, t, ps in zip(batch["doc"], batch["text"], batch["ps"]):
-                w = words(t)
-                held = list(idx.positions(w))
-                for x in ps:
-                    p = int(x["p"])
-                    if near_enough(idx.at[p], held, len(idx.words[p]), x["need"]) and (c := coverage(idx.words[p], w)) >= cover:
-                        out.append((d, p, c))
-            yield pd.DataFrame(out, columns=["doc", "p", "coverage"])
-
-    found = docs.join(chosen, "doc").mapInPandas(verify, f"doc {kind}, p int, coverage double")
-    rows["p"] = rows["passage"].map(number)
-    names = F.broadcast(spark.createDataFrame(rows[["p", "item"]]))
-    return found.join(names, "p").groupBy(F.col("doc").alias(key), F.col("item").alias(item)).agg(F.max("coverage").alias("coverage"))
+            docs_in, out = batch["doc"].to_numpy(), []
+            for d, p, place, shingle in candidates(mine, *mine.hits(batch["text"])):
+                c = coverage(mine.shingles[p], int(mine.length[p]), place, shingle)
+                if c >= cover:
+                    out.append((docs_in[d], p, c))
+            yield pd.DataFrame(out, columns=["doc", "passage", "coverage"])
+
+    found = docs.mapInPandas(search, schema)
+    hashes = spark.createDataFrame([(i, t) for i, t in enumerate(distinct)], "passage int, t string").select("passage", F.xxhash64("t").alias("p"))
+    return found.join(F.broadcast(hashes), "passage").select("doc", "p", "coverage")

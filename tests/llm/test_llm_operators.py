@@ -122,6 +122,32 @@ def test_leaks_whole_partial_changed(spark):
     assert leakage.leaks(docs, "doc_id", "text", items.limit(0), "item_id", "passage").count() == 0
 
 
+def test_leaks_in_blocks_and_long_documents(spark):
+    """A dictionary in many blocks finds the same; a passage many times in one long document is found in linear time."""
+    r = random.Random(12)
+    say = lambda n: " ".join(r.choice(WORDS) for _ in range(n))
+    ps = [say(50) for _ in range(40)]
+    docs = [(i, f"{say(30)} {ps[i]} {say(30)}" if i % 2 else say(100)) for i in range(40)] + [(100, (ps[3] + " ") * 3000), (101, " ".join(["a"] * 20000)), (102, None)]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    items = spark.createDataFrame(list(enumerate(ps)), "item_id long, passage string")
+    got = [{(x["doc_id"], x["item_id"]) for x in leakage.leaks(df, "doc_id", "text", items, "item_id", "passage", block_chars=n).collect()} for n in (2000, 10**9)]
+    assert got[0] == got[1] == {(i, i) for i in range(1, 40, 2)} | {(100, 3)}
+
+
+def test_only_the_prefix_is_joined():
+    """Every pair with enough shared shingles passes the prefix join; it forms fewer pairs than the join on all shingles."""
+    r = random.Random(3)
+    ps = [[r.choice(WORDS[:60]) for _ in range(30)] for _ in range(30)]
+    texts = [" ".join(ps[r.randrange(30)][: r.choice([4, 8, 30])] + [r.choice(WORDS[:60]) for _ in range(40)]) for _ in range(200)]
+    block = leakage.Passages([" ".join(p) for p in ps])
+    text, place, shingle, size = block.hits(pd.Series(texts))
+    block.order(np.bincount(np.unique(text * len(block.codes) + shingle) % len(block.codes), minlength=len(block.codes)))
+    joined = [{(int(text[i]), int(p)) for i, p in zip(*leakage._joined(o, shingle))} for o in (block.of_prefix, block.of_shingle)]
+    shared = [set(shingle[text == t]) for t in range(200)]
+    enough = {(t, p) for t in range(200) for p in range(30) if len(shared[t] & set(block.own[p])) >= block.need[p]}
+    assert enough <= joined[0] < joined[1] and len(joined[0]) < len(joined[1])
+
+
 def test_words_ignore_layout():
     assert leakage.words("The v5.28\n> `re_build` d\\u00e9j&agrave; <br/>ﬁne") == leakage.words("the V528 rebuild deja fine")
 
