@@ -1,11 +1,15 @@
-"""Parent-child links to full hierarchies: contraction and its reversal.
+"""Parent-child links to full hierarchies: tree contraction and its reversal.
 
-Rounds alternate between raking leaves (nodes without children leave together with their links) and
-compressing unary chains (an independent set of nodes with one parent and one child is spliced out),
-so depth does not set the number of rounds.  The contractions are recorded and undone in reverse
-order, which recovers every node's ancestors.  Nodes may have several parents.  A core that no
-longer contracts holds the cycles: it is trimmed from above as well and closed by doubling.
-Everything is joins on node keys; no graph is gathered in one place.
+A round rakes leaves (nodes without children leave together with their links) and compresses unary
+chains (an independent set of nodes with one parent and one child is spliced out; the new link
+remembers the way it stands for).  Each round of a tree removes a fixed share of it, so depth does
+not set the number of rounds.  The contractions are recorded and undone in reverse order, which
+recovers ancestors, descendants, roots, depths and paths.
+
+Nodes may have several parents.  What no longer contracts (a round removes less than an eighth of
+the links) is a core of cycles and layers with several parents; it is closed by doubling the length
+of its ways, in a logarithmic number of rounds as well.  Nodes on cycles come out as their own
+ancestors.  Everything is joins on node keys; no graph is gathered in one place.
 
 Joins of the loops carry a merge hint: small rounds would otherwise turn into dozens of broadcasts,
 all of which pass through the driver's memory.
@@ -17,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quern.functions.keys import key
-from quern.session import cut
+from quern.session import Parts, cut
 
 
 def latest_nodes(nodes: DataFrame) -> DataFrame:
@@ -38,132 +42,171 @@ def links(nodes: DataFrame) -> DataFrame:
     return e.join(nodes.select("g", F.col("n").alias("p")).hint("merge"), ["g", "p"]).select("g", "p", "c")
 
 
-def _coin(g: str, n: str) -> F.Column:
-    return F.xxhash64(g, n)
-
-
-def _splice(edges: DataFrame) -> tuple[DataFrame, DataFrame] | None:
-    """An independent set of unary nodes: ``(v, p, c)`` of the spliced nodes and the remaining links."""
-    ups = edges.groupBy("g", F.col("c").alias("n")).agg(F.count("*").alias("k"), F.min("p").alias("p")).where("k = 1 AND p <> n")
-    downs = edges.groupBy("g", F.col("p").alias("n")).agg(F.count("*").alias("k"), F.min("c").alias("c")).where("k = 1")
-    unary = cut(ups.select("g", "n", "p").join(downs.select("g", "n", "c").hint("merge"), ["g", "n"]).where("p <> c").withColumn("coin", _coin("g", "n")))
-    if unary.isEmpty():
-        return None
-    other = unary.select("g", F.col("n").alias("m"), F.col("coin").alias("theirs"))
-    # a node yields to a unary neighbour with the greater coin
-    above = unary.join(other.hint("merge"), (unary.g == other.g) & (unary.p == other.m), "left").select(unary["*"], F.col("theirs").alias("a"))
-    both = above.join(other.hint("merge"), (above.g == other.g) & (above.c == other.m), "left").select(above["*"], F.col("theirs").alias("b"))
-    chosen = cut(both.where("(a IS NULL OR coin > a) AND (b IS NULL OR coin > b)").select("g", F.col("n").alias("v"), "p", "c"))
-    if chosen.isEmpty():
-        return None
-    gone = chosen.select("g", F.explode(F.array(F.struct("p", F.col("v").alias("c")), F.struct(F.col("v").alias("p"), "c"))).alias("e")).select("g", "e.p", "e.c")
-    rest = edges.join(gone.hint("merge"), ["g", "p", "c"], "left_anti").unionByName(chosen.select("g", "p", "c")).distinct()
-    return chosen, rest
-
-
-def contract(edges: DataFrame) -> tuple[list[tuple[str, DataFrame]], DataFrame]:
-    """The recorded contractions, in order, and the links of the core (empty without cycles)."""
-    live, log = cut(edges), []
-    while True:
-        parents = live.select("g", F.col("p").alias("c")).distinct().withColumn("kept", F.lit(True))
-        marked = cut(live.join(parents.hint("merge"), ["g", "c"], "left").select("g", "p", "c", F.coalesce("kept", F.lit(False)).alias("kept")))
-        raked = marked.where("NOT kept").drop("kept")
-        if raked.isEmpty():
-            return log, live
-        log.append(("rake", raked))
-        live = marked.where("kept").drop("kept")
-        if live.isEmpty():
+def spelled(nodes: DataFrame) -> DataFrame:
+    """The same links as ``graph_id, p, c`` with ids spelled as in ``id`` and one spelling a graph."""
+    graph = nodes.groupBy("g").agg(F.min("graph_id").alias("graph_id"))
+    named = nodes.select("g", F.col("n").alias("k"), F.col("id").alias("p"))
+    e = nodes.select("g", F.col("id").alias("c"), F.explode("up").alias("k")).join(named.hint("merge"), ["g", "k"])
+    return e.join(graph, "g").select("graph_id", "p", "c")
+
+
+SHRINKS = 0.75  #: a round that leaves more of the links than this ends the contraction
+_WAY = "array<string>"
+
+
+def _shortest(length: F.Column, way: F.Column) -> F.Column:
+    """Aggregate: the shortest way, the smallest by node key of several."""
+    return F.min(F.struct(length.alias("k"), way.alias("way")))["way"]
+
+
+def _round(live: DataFrame, salt: int) -> DataFrame:
+    """One round: ``kind, g, p, c, via`` with the kinds
+
+    rake   a leaf c and a link above it
+    hang   a spliced node c and its link above
+    under  a spliced node p and its link below
+    live   what is left, with a link for each spliced node; ``via`` lists the nodes it jumps over
+    Links may repeat with different ways; a single parent or child is told by its name, not by counts.
+    """
+    ends = F.array(F.struct(F.col("c").alias("n"), F.col("p").alias("up"), F.lit(None).cast("string").alias("down"), "via"), F.struct(F.col("p").alias("n"), F.lit(None).cast("string").alias("up"), F.col("c").alias("down"), F.lit(None).cast(_WAY).alias("via")))
+    sides = live.select("g", F.inline(ends))
+    way = F.min(F.when(F.col("via").isNotNull(), F.struct(F.size("via").alias("k"), F.col("via").alias("way"))))["way"]
+    node = sides.groupBy("g", "n").agg(F.min("up").alias("up"), F.max("up").alias("up2"), F.min("down").alias("down"), F.max("down").alias("down2"), way.alias("upvia"))
+    coin = lambda n: F.xxhash64(F.lit(salt), "g", n)  # noqa: E731 - of two neighbours the one with the greater coin may leave
+    unary = (F.col("up") == F.col("up2")) & (F.col("down") == F.col("down2")) & (F.col("up") != F.col("n")) & (F.col("down") != F.col("n")) & (F.col("up") != F.col("down"))
+    leaves = F.col("down").isNull()
+    going = node.where(leaves | (unary & (coin("n") > coin("up")) & (coin("n") > coin("down")))).select("g", "n", leaves.alias("leaf"), "up", "upvia")
+    child = going.select("g", F.col("n").alias("c"), F.col("leaf").alias("c_leaf"))
+    parent = going.where("NOT leaf").select("g", F.col("n").alias("p"), "up", "upvia")
+    both = live.join(child.hint("merge"), ["g", "c"], "left").join(parent.hint("merge"), ["g", "p"], "left")
+    row = lambda kind, p, via: F.struct(F.lit(kind).alias("kind"), p.alias("p"), F.col("c"), via.alias("via"))
+    p, via = F.col("p"), F.col("via")
+    spliced = F.array(row("under", p, via), row("live", F.col("up"), F.concat("upvia", F.array("p"), "via")))
+    rows = F.when(F.col("c_leaf"), F.array(row("rake", p, via))).when(F.col("c_leaf").isNotNull(), F.array(row("hang", p, via))).when(F.col("up").isNotNull(), spliced).otherwise(F.array(row("live", p, via)))
+    return both.select("g", F.inline(rows))
+
+
+def contract(edges: DataFrame) -> tuple[list[dict[str, DataFrame]], DataFrame | None]:
+    """The recorded rounds, in order, and the links ``g, p, c, via`` of the core (None if nothing is left)."""
+    live = cut(edges.select("g", "p", "c").distinct().withColumn("via", F.array().cast(_WAY)))
+    size, log = live.count(), []
+    while size:
+        frame = cut(_round(live, len(log)))
+        counts = {r["kind"]: r["count"] for r in frame.groupBy("kind").count().collect()}
+        log.append({kind: frame.where(F.col("kind") == kind).select("g", "p", "c", "via") for kind in ("rake", "hang", "under") if counts.get(kind)})
+        live, before, size = frame.where("kind = 'live'").select("g", "p", "c", "via"), size, counts.get("live", 0)
+        if size > SHRINKS * before:
             return log, live
-        spliced = _splice(live)
-        if spliced is not None:
-            log.append(("splice", spliced[0]))
-            live = cut(spliced[1])
+    return log, None
 
 
-def _close(edges: DataFrame) -> DataFrame:
-    """Transitive closure ``g, a, d`` of a cyclic core by doubling."""
-    pairs = cut(edges.select("g", F.col("p").alias("a"), F.col("c").alias("d")).distinct())
-    size = pairs.count()
+def _closed(core: DataFrame) -> DataFrame:
+    """Transitive closure ``g, a, d`` of the core: ways of up to 2, 4, 8, ... links until no pair is new."""
+    step = cut(core.select("g", F.col("p").alias("a"), F.col("c").alias("d")).distinct())
+    pairs, size = step, step.count()
     while True:
-        step = pairs.select("g", F.col("a").alias("d"), F.col("d").alias("e"))
-        pairs = cut(pairs.unionByName(pairs.join(step.hint("merge"), ["g", "d"]).select("g", "a", F.col("e").alias("d"))).distinct())
+        on = step.select("g", F.col("a").alias("m"), F.col("d").alias("e"))
+        reach = lambda left: left.select("g", "a", F.col("d").alias("m")).join(on.hint("merge"), ["g", "m"]).select("g", "a", F.col("e").alias("d"))
+        pairs = cut(pairs.unionByName(reach(pairs)).distinct())
         now = pairs.count()
         if now == size:
             return pairs
-        size = now
+        size, step = now, cut(reach(step).distinct())
+
+
+def ancestors(edges: DataFrame, contracted: tuple[list[dict[str, DataFrame]], DataFrame | None] | None = None) -> DataFrame:
+    """``g, a, d``: each node ``d`` once with each node ``a`` it hangs below, directly or not; on a cycle also itself."""
+    log, core = contracted or contract(edges)
+    parts = Parts(edges.sparkSession)
+    if core is not None:
+        parts.add(_closed(core))
+
+    def below(step: DataFrame) -> DataFrame:
+        """The nodes c of ``step`` with their parents and their parents' ancestors."""
+        new = step.select("g", F.col("p").alias("a"), F.col("c").alias("d"))
+        if not parts:
+            return new
+        above = parts.frame().select("g", "a", F.col("d").alias("p"))
+        return new.unionByName(step.select("g", "p", "c").join(above.hint("merge"), ["g", "p"]).select("g", "a", F.col("c").alias("d")))
+
+    for step in reversed(log):
+        if "hang" in step:
+            # a restored node takes its parent's ancestors and becomes one of its child's descendants'
+            new = below(step["hang"])
+            if "under" in step:
+                under = step["under"].select("g", F.col("p").alias("a"), F.col("c").alias("d"))
+                if parts:
+                    down = parts.frame().select("g", F.col("a").alias("c"), "d")
+                    under = under.unionByName(step["under"].select("g", "p", "c").join(down.hint("merge"), ["g", "c"]).select("g", F.col("p").alias("a"), "d"))
+                # and of each node restored beside it whose parent it is above; on a cycle that is itself
+                beside = under.join(step["hang"].select("g", F.col("p").alias("d"), "c").hint("merge"), ["g", "d"]).select("g", "a", F.col("c").alias("d"))
+                new = new.unionByName(under).unionByName(beside)
+            parts.add(new.distinct())
+        if "rake" in step:
+            parts.add(below(step["rake"]).distinct())
+    return parts.frame() if parts else edges.select("g", F.col("p").alias("a"), F.col("c").alias("d")).limit(0)
+
+
+def _core_ways(tops: DataFrame, core: DataFrame) -> DataFrame:
+    """``g, root, n, way`` of the core's nodes by the shortest way from each root, by doubling the ways' length.
+
+    ``way`` holds the nodes after the root.  A shortest way's beginning is one too, so once longer
+    ways bring nothing new no longer ones will.
+    """
+    step = cut(core.select("g", "p", "c", F.concat("via", F.array("c")).alias("way")))
+    ways = cut(tops.join(core.select("g", F.col("p").alias("n")).distinct().hint("merge"), ["g", "n"], "left_semi").select("g", "root", "n", F.array().cast(_WAY).alias("way")))
+    mark = None
+    while True:
+        more = ways.select("g", "root", F.col("n").alias("p"), F.col("way").alias("head")).join(step.hint("merge"), ["g", "p"]).select("g", "root", F.col("c").alias("n"), F.concat("head", "way").alias("way"))
+        ways = cut(ways.unionByName(more).groupBy("g", "root", "n").agg(_shortest(F.size("way"), F.col("way")).alias("way")))
+        now = ways.agg(F.count("*").alias("n"), F.sum(F.xxhash64("g", "root", "n", "way").cast("decimal(38,0)")).alias("h")).first()
+        if now == mark:
+            return ways
+        mark = now
+        left = step.select("g", "p", F.col("c").alias("m"), F.col("way").alias("head"))
+        step = cut(left.join(step.withColumnRenamed("p", "m").hint("merge"), ["g", "m"]).groupBy("g", "p", "c").agg(_shortest(F.size("head") + F.size("way"), F.concat("head", "way")).alias("way")))
 
 
-def _core(edges: DataFrame) -> DataFrame:
-    """Closure of the core: trimmed from above until only cycles and what lies between them remain."""
-    live, trimmed = edges, []
-    while True:
-        children = live.select("g", F.col("c").alias("p")).distinct().withColumn("kept", F.lit(True))
-        marked = cut(live.join(children.hint("merge"), ["g", "p"], "left").select("g", "p", "c", F.coalesce("kept", F.lit(False)).alias("kept")))
-        loose = marked.where("NOT kept").drop("kept")
-        if loose.isEmpty():
-            break
-        trimmed.append(loose)
-        live = marked.where("kept").drop("kept")
-    pairs = _close(live)
-    for loose in reversed(trimmed):
-        below = pairs.select("g", F.col("a").alias("c"), "d")
-        new = loose.select("g", F.col("p").alias("a"), F.col("c").alias("d")).unionByName(loose.join(below.hint("merge"), ["g", "c"]).select("g", F.col("p").alias("a"), "d"))
-        pairs = cut(pairs.unionByName(new.distinct()))
-    return pairs
-
-
-def ancestors(edges: DataFrame) -> DataFrame:
-    """``g, a, d``: each node ``d`` with each node ``a`` it hangs below, directly or not; on a cycle also itself."""
-    log, core = contract(edges.select("g", "p", "c").distinct())
-    parts = [_core(core)] if not core.isEmpty() else []
-    for kind, step in reversed(log):
-        pairs = None
-        for part in parts:
-            pairs = part if pairs is None else pairs.unionByName(part)
-        if kind == "rake":
-            new = step.select("g", F.col("p").alias("a"), F.col("c").alias("d"))
-            if pairs is not None:
-                above = pairs.select("g", "a", F.col("d").alias("p"))
-                new = new.unionByName(step.join(above.hint("merge"), ["g", "p"]).select("g", "a", F.col("c").alias("d"))).distinct()
-        else:
-            # the restored node takes its parent's ancestors and becomes one of its child's descendants'
-            above = pairs.select("g", "a", F.col("d").alias("p"))
-            below = pairs.select("g", F.col("a").alias("c"), "d")
-            own = step.select("g", F.col("p").alias("a"), F.col("v").alias("d")).unionByName(step.join(above.hint("merge"), ["g", "p"]).select("g", "a", F.col("v").alias("d")))
-            under = step.select("g", F.col("v").alias("a"), F.col("c").alias("d")).unionByName(step.join(below.hint("merge"), ["g", "c"]).select("g", F.col("v").alias("a"), "d"))
-            # and of each node restored beside it whose parent it is above; on a cycle that is itself
-            beside = under.join(step.select("g", F.col("p").alias("d"), "v").hint("merge"), ["g", "d"]).select("g", "a", F.col("v").alias("d"))
-            new = own.unionByName(under).unionByName(beside).distinct()
-        parts.append(cut(new))
-    out = parts[0] if parts else edges.select("g", F.col("p").alias("a"), F.col("c").alias("d")).limit(0)
-    for part in parts[1:]:
-        out = out.unionByName(part)
-    return out.distinct()
-
-
-def hierarchy(nodes: DataFrame, edges: DataFrame, closure: DataFrame) -> DataFrame:
+def ways_from_roots(nodes: DataFrame, edges: DataFrame, contracted: tuple[list[dict[str, DataFrame]], DataFrame | None]) -> DataFrame:
+    """``g, root, n, way``: the shortest way (nodes after the root) from each root of a node, by undoing the contractions.
+
+    A root has no parents; it leads to itself by an empty way.  Of several shortest ways the
+    smallest by node keys is given.
+    """
+    log, core = contracted
+    tops = nodes.select("g", "n").join(edges.select("g", F.col("c").alias("n")).hint("merge"), ["g", "n"], "left_anti").select("g", F.col("n").alias("root"), "n")
+    parts = Parts(nodes.sparkSession)
+    parts.add(tops.select("g", "root", "n", F.array().cast(_WAY).alias("way")))
+    if core is not None:
+        tops = parts.frame().select("g", "root", "n")
+        parts.add(_core_ways(tops, core).where("n <> root"))
+    for step in reversed(log):
+        for kind in ("hang", "rake"):
+            if kind in step:
+                above = parts.frame().select("g", "root", F.col("n").alias("p"), F.col("way").alias("head"))
+                got = step[kind].join(above.hint("merge"), ["g", "p"]).select("g", "root", F.col("c").alias("n"), F.concat("head", "via", F.array("c")).alias("way"))
+                parts.add(got.groupBy("g", "root", "n").agg(_shortest(F.size("way"), F.col("way")).alias("way")))
+    return parts.frame()
+
+
+def hierarchy(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """``g, n, depth, path, paths, roots, n_ancestors, n_descendants, cyclic`` of every node.
 
     ``roots`` are the ancestors (or the node) without parents, sorted; ``depth`` counts the links of
-    the shortest way from a root and ``path`` is that way, the smallest by node key if there are
+    the shortest way from a root and ``path`` is that way, the smallest by node keys if there are
     several; both are null where no root leads to the node.  ``paths`` holds the same for each of its
     roots, as structs (root, depth, path) by root.  ``cyclic``: the node lies on a cycle.
     """
+    contracted = contract(edges)
+    closure = cut(ancestors(edges, contracted))
     up = closure.groupBy("g", F.col("d").alias("n")).agg(F.count("*").alias("n_ancestors"), F.max((F.col("a") == F.col("d")).cast("int")).alias("c"))
     down = closure.where("a <> d").groupBy("g", F.col("a").alias("n")).agg(F.count("*").alias("n_descendants"))
-    tops = nodes.select("g", "n").join(edges.select("g", F.col("c").alias("n")).hint("merge"), ["g", "n"], "left_anti")
-    seen = cut(tops.select("g", "n", F.col("n").alias("root"), F.lit(0).alias("depth"), F.col("n").alias("path")))
-    front, every = seen, seen
-    while not front.isEmpty():
-        step = front.select("g", "root", F.col("n").alias("p"), "depth", "path").join(edges.hint("merge"), ["g", "p"])
-        step = step.join(every.select("g", "root", F.col("n").alias("c")).hint("merge"), ["g", "root", "c"], "left_anti")
-        front = cut(step.groupBy("g", "root", F.col("c").alias("n")).agg((F.min("depth") + 1).alias("depth"), F.min(F.concat_ws(" > ", "path", "c")).alias("path")))
-        every = every.unionByName(front)
-    ways = every.groupBy("g", "n").agg(F.min(F.struct("depth", "path")).alias("w"), F.array_sort(F.collect_list(F.struct("root", "depth", "path"))).alias("paths")).select("g", "n", "w.depth", "w.path", "paths")
-    roots = tops.select("g", F.col("n").alias("a")).join(closure.hint("merge"), ["g", "a"]).groupBy("g", F.col("d").alias("n")).agg(F.sort_array(F.collect_set("a")).alias("r"))
-    out = nodes.select("g", "n").join(ways.hint("merge"), ["g", "n"], "left").join(up.hint("merge"), ["g", "n"], "left").join(down.hint("merge"), ["g", "n"], "left").join(roots.hint("merge"), ["g", "n"], "left")
+    ways = ways_from_roots(nodes, edges, contracted).select("g", "n", "root", F.size("way").alias("depth"), F.concat(F.array("root"), "way").alias("way"))
+    by_root = F.transform(F.array_sort(F.collect_list(F.struct("root", "depth", "way"))), lambda w: F.struct(w["root"].alias("root"), w["depth"].alias("depth"), F.concat_ws(" > ", w["way"]).alias("path")))
+    of_node = ways.groupBy("g", "n").agg(F.min(F.struct("depth", "way")).alias("w"), by_root.alias("paths"))
+    of_node = of_node.select("g", "n", "w.depth", F.concat_ws(" > ", "w.way").alias("path"), "paths", F.concat_ws(",", F.transform("paths", lambda w: w["root"])).alias("roots"))
+    out = nodes.select("g", "n").join(of_node.hint("merge"), ["g", "n"], "left").join(up.hint("merge"), ["g", "n"], "left").join(down.hint("merge"), ["g", "n"], "left")
     return out.select(
-        "g", "n", "depth", "path", F.coalesce("paths", F.array().cast("array<struct<root: string, depth: int, path: string>>")).alias("paths"),
-        F.concat_ws(",", F.coalesce("r", F.when(F.col("depth") == 0, F.array("n")), F.array().cast("array<string>"))).alias("roots"),
+        "g", "n", "depth", "path", F.coalesce("paths", F.array().cast("array<struct<root: string, depth: int, path: string>>")).alias("paths"), F.coalesce("roots", F.lit("")).alias("roots"),
         F.coalesce("n_ancestors", F.lit(0)).alias("n_ancestors"), F.coalesce("n_descendants", F.lit(0)).alias("n_descendants"), (F.coalesce("c", F.lit(0)) == 1).alias("cyclic"),
     )

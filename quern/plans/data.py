@@ -52,21 +52,35 @@ up AS (
 
 @register(f"WITH RECURSIVE {_EDGES} SELECT g AS graph_id, a AS ancestor_id, d AS node_id FROM up")
 def p4_found(spark, d):
-    nodes, edges = _graph(spark, d)
-    pairs = hierarchy.ancestors(edges)
-    name = nodes.select("g", "n", "graph_id", "id")
-    a = name.select("g", F.col("n").alias("a"), F.col("id").alias("ancestor_id"))
-    c = name.select("g", F.col("n").alias("d"), "graph_id", F.col("id").alias("node_id"))
-    return pairs.join(a, ["g", "a"]).join(c, ["g", "d"]).select("graph_id", "ancestor_id", "node_id")
+    edges = hierarchy.spelled(cut(hierarchy.latest_nodes(table(spark, d, "knowledge_nodes"))))
+    pairs = hierarchy.ancestors(edges.withColumnRenamed("graph_id", "g"))
+    return pairs.select(F.col("g").alias("graph_id"), F.col("a").alias("ancestor_id"), F.col("d").alias("node_id"))
 
 
-@register()
+@register(
+    f"""
+WITH RECURSIVE {_EDGES},
+ways(g, root, n, way) USING KEY (g, root, n) AS (
+  SELECT g, n, n, [n] FROM last WHERE n IS NOT NULL AND NOT EXISTS (SELECT 1 FROM edges e WHERE e.g = last.g AND e.c = last.n)
+  UNION
+  SELECT w.g, w.root, e.c, min(list_append(w.way, e.c)) FROM ways w JOIN edges e ON e.g = w.g AND e.p = w.n
+  WHERE NOT EXISTS (SELECT 1 FROM recurring.ways r WHERE r.g = w.g AND r.root = w.root AND r.n = e.c) GROUP BY 1, 2, 3),
+best AS (
+  SELECT g, n, min({{'k': len(way) - 1, 'way': way}}) AS w, list({{'root': root, 'depth': CAST(len(way) - 1 AS INTEGER), 'path': array_to_string(way, ' > ')}} ORDER BY root) AS paths,
+         string_agg(root, ',' ORDER BY root) AS roots FROM ways GROUP BY g, n),
+above AS (SELECT g, d AS n, count(*) AS k, bool_or(a = d) AS cyclic FROM up GROUP BY 1, 2),
+below AS (SELECT g, a AS n, count(*) AS k FROM up WHERE a <> d GROUP BY 1, 2)
+SELECT l.g AS graph_id, l.n AS node_id, CAST(coalesce(b.w.k, -1) AS INTEGER) AS depth, array_to_string(b.w.way, ' > ') AS path, {{paths}} AS paths, coalesce(b.roots, '') AS roots,
+       coalesce(u.k, 0) AS n_ancestors, coalesce(d.k, 0) AS n_descendants, coalesce(u.cyclic, false) AS cyclic
+FROM last l LEFT JOIN best b USING (g, n) LEFT JOIN above u USING (g, n) LEFT JOIN below d USING (g, n) WHERE l.n IS NOT NULL
+""".replace("{paths}", "array_to_string(list_transform(coalesce(b.paths, []), lambda p: concat_ws(':', p.root, p.depth, p.path)), ' | ')")
+)
 def p4_hierarchy(spark, d):
-    """Depth, nearest path, a path from each root, roots and counts of every node; cycles are reported in ``cyclic``."""
+    """Depth, nearest path, a path from each root, roots and counts of every node; cycles are reported in ``cyclic``, depth -1 where no root leads."""
     nodes, edges = _graph(spark, d)
-    edges = cut(edges)
-    out = hierarchy.hierarchy(nodes, edges, cut(hierarchy.ancestors(edges)))
-    return out.select(F.col("g").alias("graph_id"), F.col("n").alias("node_id"), "depth", "path", "paths", "roots", "n_ancestors", "n_descendants", "cyclic")
+    out = hierarchy.hierarchy(nodes, cut(edges))
+    paths = F.concat_ws(" | ", F.transform("paths", lambda w: F.concat_ws(":", w["root"], w["depth"], w["path"])))
+    return out.select(F.col("g").alias("graph_id"), F.col("n").alias("node_id"), F.coalesce("depth", F.lit(-1)).alias("depth"), "path", paths.alias("paths"), "roots", "n_ancestors", "n_descendants", "cyclic")
 
 
 def _references(spark, d):

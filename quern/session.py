@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -31,25 +32,46 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder of the cluster; one of our own only where the session names none."""
-    named = spark.conf.get(CHECKPOINT_KEY, None) or spark.sparkContext.getConf().get(CHECKPOINT_KEY)
-    current = spark.sparkContext._jsc.sc().getCheckpointDir()
-    if current.isDefined():
-        return current.get()
-    target = named or tempfile.mkdtemp(prefix="quern-checkpoint-")
-    spark.sparkContext.setCheckpointDir(target)
-    return target
+    """The shared folder that the cluster names in ``spark.checkpoint.dir``.
+
+    Only a local session may do without: it gets a folder of its own.  On a cluster each executor
+    would write to its own disk, so a missing setting is an error there.
+    """
+    named = spark.conf.get(CHECKPOINT_KEY, None)
+    if not named and spark.conf.get("spark.master", "").startswith("local"):
+        named = tempfile.mkdtemp(prefix="quern-checkpoint-")
+        spark.conf.set(CHECKPOINT_KEY, named)
+    if not named:
+        raise ValueError(f"{CHECKPOINT_KEY} names no shared folder")
+    return named.rstrip("/")
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint: runs the plan once, survives lost executors, forgets the lineage.
+    """Runs the plan once and goes on from the written rows: survives lost executors, forgets the lineage.
 
-    A checkpointed frame keeps the size estimate of its plan, and a join's estimate is the product
-    of its sides'.  In a loop the number would double its digits each round until it fills the
-    driver, so the frame is made anew from the checkpointed rows, without an estimate.
+    The rows are a table in the shared folder.  Its real size is known to the planner; a checkpointed
+    frame would keep the estimate of its plan, a product over joins whose digits double each round
+    of a loop until they fill the driver.
     """
-    spark = df.sparkSession
-    checkpoint_dir(spark)
-    kept = df.checkpoint(eager=True)._jdf
-    fresh = spark._jsparkSession.internalCreateDataFrame(kept.queryExecution().toRdd(), kept.schema(), False)
-    return DataFrame(fresh, spark)
+    parts = Parts(df.sparkSession)
+    parts.add(df)
+    return parts.frame()
+
+
+class Parts:
+    """Written tables of one schema that grow part by part and are read in one scan."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.schema, self.paths = spark, None, []
+
+    def add(self, df: DataFrame) -> None:
+        target = f"{checkpoint_dir(self.spark)}/quern-{uuid.uuid4().hex}"
+        self.schema = self.schema or df.schema
+        df.write.parquet(target)
+        self.paths.append(target)
+
+    def frame(self) -> DataFrame:
+        return self.spark.read.schema(self.schema).parquet(*self.paths)
+
+    def __bool__(self) -> bool:
+        return bool(self.paths)

@@ -43,10 +43,27 @@ def test_latest_nodes_dirty_rows(spark):
     nodes = hierarchy.latest_nodes(df)
     assert {(x["g"], x["n"], tuple(x["up"])) for x in nodes.collect()} == {("g", "a", ("b",)), ("g", "b", ()), ("", "z", ())}
     assert [(x["p"], x["c"]) for x in hierarchy.links(nodes).collect()] == [("b", "a")]
-    h = {x["n"]: x for x in hierarchy.hierarchy(nodes, hierarchy.links(nodes), hierarchy.ancestors(hierarchy.links(nodes))).collect()}
+    h = {x["n"]: x for x in hierarchy.hierarchy(nodes, hierarchy.links(nodes)).collect()}
     assert h["a"]["path"] == "b > a" and h["a"]["roots"] == "b" and h["b"]["n_descendants"] == 1 and h["z"]["depth"] == 0
 
 
+@pytest.mark.parametrize("shape", ["chain", "ladder", "ring"])
+def test_depth_does_not_set_the_number_of_rounds(spark, shape):
+    """1,000 levels of a chain, 200 of a ladder (two nodes a level, each below both of the level above), a ring of 150."""
+    n = {"chain": 1000, "ladder": 200, "ring": 150}[shape]
+    if shape == "ladder":
+        edges = [(f"{a}{i}", f"{b}{i + 1}") for i in range(n) for a in "xy" for b in "xy"]
+    else:
+        edges = [(f"n{i}", f"n{(i + 1) % n if shape == 'ring' else i + 1}") for i in range(n)]
+    df = spark.createDataFrame([("g", p, c) for p, c in edges], "g string, p string, c string")
+    log, core = hierarchy.contract(df)
+    assert len(log) <= 25 and (shape == "chain") <= (core is None)
+    assert hierarchy.ancestors(df, (log, core)).count() == {"chain": n * (n + 1) // 2, "ladder": 4 * n * (n + 1) // 2, "ring": n * n}[shape]
+    nodes = df.select("g", "p").union(df.select("g", "c")).distinct().toDF("g", "n")
+    ways = hierarchy.ways_from_roots(nodes, df, (log, core)).selectExpr("count(*)", "max(size(way))").first()
+    assert tuple(ways) == {"chain": (n + 1, n), "ladder": (2 * (2 * n + 1), n), "ring": (0, None)}[shape]
+
+
 def test_ancestors_of_nothing(spark):
     assert hierarchy.ancestors(spark.createDataFrame([], "g string, p string, c string")).count() == 0
 

@@ -19,8 +19,6 @@ from quern.sources import files
 from quern.streaming import streams
 
 SF = "/root/testdata/sf0.001"
-#: Slow by their many rounds on a small session; checked at other sizes by the driver.
-MANY_ROUNDS = {"p4_found", "kg_cycles", "sim_components"}
 
 
 @pytest.fixture(scope="module")
@@ -45,7 +43,7 @@ def _rows(df):
     return sorted(tuple(_cell(x) for x in row) for row in df[sorted(df.columns)].itertuples(index=False, name=None))
 
 
-@pytest.mark.parametrize("name", sorted(set(registry.sql()) - MANY_ROUNDS))
+@pytest.mark.parametrize("name", sorted(registry.sql()))
 def test_sql_twin(spark, duck, name):
     assert _rows(registry.queries()[name](spark, SF).toPandas()) == _rows(duck.execute(registry.sql()[name]).df())
 
