@@ -74,17 +74,36 @@ def test_merkle_changes_and_publication(spark, tmp_path):
     assert led.current() is None
     todo, tree = incremental.changes(records, None, None, ["k"], "state", 2)
     assert todo.count() == 500
-    led.publish(todo, records.where("k IS NOT NULL").dropDuplicates(["k"]), tree)
+    publish = lambda todo, rows, tree: led.publish(todo, rows.where("k IS NOT NULL").dropDuplicates(["k"]), tree, ["k"], "state", 2)
+    publish(todo, records, tree)
     first = led.current()
     later = records.where("k <> 'k7'").withColumn("state", F.when(F.col("k") == "k3", F.lit(None)).otherwise(F.col("state"))).unionByName(spark.createDataFrame([("new", "v")], "k string, state string"))
     for _ in range(2):  # a run that fails before it publishes changes nothing
         todo, tree = incremental.changes(later, led.load("records"), led.load("tree"), ["k"], "state", 2)
-        assert {(x["k"], x["change"]) for x in todo.collect()} == {("k3", "changed"), ("new", "added")}
-    led.publish(todo, later.where("k IS NOT NULL").dropDuplicates(["k"]), tree)
+        assert {(x["k"], x["change"]) for x in todo.collect()} == {("k3", "changed"), ("new", "added"), ("k7", "removed")}
+    publish(todo, later, tree)
     assert led.current() != first
     assert incremental.changes(later, led.load("records"), led.load("tree"), ["k"], "state", 2)[0].count() == 0
 
 
+def test_ledger_survives_a_crash_and_reads_only_the_tree_without_changes(spark, tmp_path, monkeypatch):
+    led = incremental.Ledger(spark, str(tmp_path / "ledger"))
+    # repeated keys with other columns: one row by the greatest state, the same one each time
+    rows = spark.createDataFrame([(f"k{i}", f"v{i}", i) for i in range(900)] + [("k1", "v0", 5), ("k1", None, 6)], "k string, state string, more int")
+    assert led.take(rows, ["k"], "state").count() == 900
+    first = led.current()
+    changed = rows.withColumn("state", F.when(F.col("k") == "k8", F.lit("new")).otherwise(F.col("state"))).where("k <> 'k9'")
+    with monkeypatch.context() as m:
+        m.setattr(incremental.Ledger, "_commit", lambda *_: (_ for _ in ()).throw(RuntimeError("lost between output and commit")))
+        with pytest.raises(RuntimeError):
+            led.take(changed, ["k"], "state")
+    assert led.current() == first
+    assert {(r["k"], r["change"]) for r in led.take(changed, ["k"], "state").collect()} == {("k8", "changed"), ("k9", "removed")}
+    again, _ = incremental.changes(changed, led.load("records"), led.load("tree"), ["k"], "state", led.levels())
+    assert again.count() == 0 and "records" not in " ".join(again.inputFiles())
+    assert led.take(changed, ["k"], "state").count() == 0 and led.take(changed.limit(0), ["k"], "state").where("change = 'removed'").count() == 899
+
+
 def test_pending_of_units_and_signs(spark):
     runs = spark.createDataFrame([(1, "ok"), (2, "failed")], "run_id long, status string")
     docs = [(1, 100.0, 200.0, 1), (2, 300.0, 200.0, 1), (3, 100.0, None, None), (4, 100.0, 0.0, None), (5, 100.0, 200.0, 2), (6, 1.7e12, 1.7e9, 1), (7, 1.7e12 + 1, 1.7e9, 1), (8, 100.0, -1.0, 1), (9, float("nan"), 200.0, 1), (1, 100.0, 200.0, 1)]
