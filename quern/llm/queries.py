@@ -36,9 +36,13 @@ def p7_found(spark, d):
 
 
 def p7_knn(spark, d):
-    """The five nearest chunks of every chunk whose id is divisible by 50, against all rows."""
-    v = _vectors(spark, d).where("space = 'chunks'")
-    return neighbours.nearest(v, v.where("CAST(key AS BIGINT) % 50 = 0"), 64).select("key", "place", "neighbour", "cos")
+    """The five nearest of every chunk and cached vector whose id is divisible by 50, against all of its table (and model).
+
+    A cached vector has no number; its hash's stands for it.
+    """
+    v = _vectors(spark, d)
+    number = F.when(F.col("space") == "chunks", F.col("key").cast("long")).otherwise(F.xxhash64("key"))
+    return neighbours.nearest(v, v.where(number % 50 == 0), 64).select(F.col("space").alias("table_name"), "key", "place", "neighbour", "cos")
 
 
 def p2_found(spark, d):

@@ -69,6 +69,25 @@ def test_nearest_recall(spark):
     assert hits >= 0.9 * 150
 
 
+def test_every_equal_query_is_answered(spark):
+    g = np.random.default_rng(8)
+    x = np.concatenate([np.repeat(g.normal(size=(1, 16)), 13, 0), g.normal(size=(60, 16))])
+    df = spark.createDataFrame([("s", f"{i:03d}", [float(y) for y in v]) for i, v in enumerate(x)] + [("s", "000", [float(y) for y in x[0]])], "space string, key string, embedding array<float>")
+    got = neighbours.nearest(df, df, 16).groupBy("key").count().collect()
+    assert {r["key"]: r["count"] for r in got} == {f"{i:03d}": 5 for i in range(73)}
+
+
+def test_cells_of_shards_that_few_centroids_leave_large(spark):
+    """With two centroids only, shards are cut into cells; what a query visits doesn't grow and neighbours are still found."""
+    g = np.random.default_rng(6)
+    base = g.normal(size=(2400, 16))
+    x = np.concatenate([base, base[:300] + 0.02 * g.normal(size=(300, 16))])
+    df = spark.createDataFrame([("s", f"{i:05d}", [float(y) for y in v]) for i, v in enumerate(x)], "space string, key string, embedding array<float>")
+    got = {(r["key_a"], r["key_b"]) for r in neighbours.similar_pairs(df, 16, shard_rows=150, max_rows=400, centroids_most=2).collect()}
+    true = _pairs(x, [f"{i:05d}" for i in range(len(x))])
+    assert len(got & true) >= 0.95 * len(true) and len(got - true) <= 0.03 * len(true)
+
+
 def test_leximin_absent_lists_and_gaps(spark):
     rows = [(1, "a", "vec", "x", 0.9, 1), (1, "a", "vec ", "y", 0.8, 2), (1, "a", "VEC", "z", 0.7, 3), (1, "b", "fts", "y", -5.0, 0), (1, "b", "fts", "x", -4.0, None), (1, "b", "fts", "w", -3.0, 2), (1, "b", "fts", None, 9.0, 1), (1, "b", "fts", "y", float("nan"), 0)]
     df = spark.createDataFrame([(*r, None) for r in rows], "query_id long, list_label string, source string, id string, score double, rank int, logged_at timestamp_ntz")
