@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -14,20 +16,86 @@ from quern.functions.vectors import cosine, unit
 K1, B = 1.2, 0.75
 
 
-def vector_topk(vectors: DataFrame, queries: DataFrame, k: int = 10, allowed: DataFrame | None = None) -> DataFrame:
+QUERY_BLOCK = 8192  #: queries that one pass over the corpus answers; bounds what is collected and broadcast
+ROWS = 512  #: rows of the corpus that are scored at once
+
+
+def block_topk(corpus: DataFrame, queries: DataFrame, k: int, adjust: Callable | None = None, block: int = QUERY_BLOCK) -> DataFrame:
+    """``qid, id, score, *others of corpus``: the ``k`` best rows of ``corpus`` (``id, embedding, ...``) for each of ``queries`` (``qid, q, ...``).
+
+    Queries come in blocks of a bounded number; each block is one pass over the corpus, which scores
+    whole Arrow batches by a matrix product and keeps ``k`` rows a query and task, so little is
+    shuffled and no pair is formed.  ``adjust(scores, rows, queries)`` may change the scores (queries
+    x rows); NaN leaves a pair out.  Scores are rounded to 6 digits and ties go to the smaller id;
+    vectors of other lengths than a query's are not compared; a zero vector scores 0 everywhere.
+    """
+    others = [c for c in corpus.columns if c not in ("id", "embedding")]
+    fields = {f.name: f.dataType.simpleString() for f in corpus.schema}
+    schema = ", ".join([f"qid {queries.schema['qid'].dataType.simpleString()}", f"id {fields['id']}", "score double", *[f"`{c}` {fields[c]}" for c in others]])
+    rows = corpus.where("embedding IS NOT NULL AND id IS NOT NULL")
+    asked = queries.where("q IS NOT NULL AND qid IS NOT NULL")
+    blocks = max(1, -(-asked.count() // block))
+    out = None
+    for b in range(blocks):
+        part = asked.where(F.pmod(F.xxhash64("qid"), F.lit(blocks)) == b).toPandas()
+        got = rows.mapInPandas(_best_of(part, k, adjust, others), schema)
+        out = got if out is None else out.unionByName(got)
+    return out
+
+
+def _units(column) -> np.ndarray:
+    x = np.array([np.asarray(v, dtype=float) for v in column], dtype=float).reshape(len(column), -1)
+    n = np.sqrt((x * x).sum(axis=1, keepdims=True))
+    return x / np.where(n == 0, 1.0, n)
+
+
+def _best_of(part: pd.DataFrame, k: int, adjust: Callable | None, others: list[str]) -> Callable:
+    by_size = [(d, g.reset_index(drop=True)) for d, g in part.groupby(part["q"].map(len))] if len(part) else []
+    sides = [(d, g.drop(columns="q"), _units(g["q"])) for d, g in by_size if d]
+
+    def better(best: pd.DataFrame | None, new: pd.DataFrame) -> pd.DataFrame:
+        both = new if best is None else pd.concat([best, new])
+        both = both.sort_values(["_q", "score", "id"], ascending=[True, False, True], kind="stable")
+        return both[both.groupby("_q").cumcount() < k]
+
+    def run(batches):
+        best: list = [None] * len(sides)
+        floor = [np.full(len(g), -np.inf) for _, g, _ in sides]
+        for batch in batches:
+            size = batch["embedding"].map(len)
+            for n, (d, g, q) in enumerate(sides):
+                same = batch[size == d]
+                for at in range(0, len(same), ROWS):
+                    chunk = same.iloc[at : at + ROWS]
+                    s = q @ _units(chunk["embedding"]).T
+                    s = np.round(s, 6) if adjust is None else np.round(adjust(np.round(s, 6), chunk, g), 6)
+                    s = np.where(np.isnan(s), -np.inf, s)
+                    least = np.partition(s, -k, axis=1)[:, -k] if s.shape[1] > k else np.full(len(s), -np.inf)
+                    i, j = np.nonzero((s >= np.maximum(least, floor[n])[:, None]) & (s > -np.inf))
+                    if not len(i):
+                        continue
+                    new = chunk[["id", *others]].iloc[j].assign(_q=i, score=s[i, j])
+                    best[n] = better(best[n], new)
+                    full = best[n].groupby("_q")["score"].agg(["size", "min"])
+                    full = full[full["size"] >= k]
+                    floor[n][full.index] = full["min"]
+        for (_, g, _), got in zip(sides, best):
+            if got is not None:
+                yield got.assign(qid=g["qid"].to_numpy()[got["_q"]])[["qid", "id", "score", *others]]
+
+    return run
+
+
+def vector_topk(vectors: DataFrame, queries: DataFrame, k: int = 10, allowed: DataFrame | None = None, own: bool = True) -> DataFrame:
     """``qid, id, score, rank``: the ``k`` most similar of ``vectors`` (``id, embedding``) for each of ``queries`` (``qid, q``).
 
-    The queries are the stated, small side; each row of the corpus is scored once a query while it
-    streams by.  ``allowed`` (``id``) is applied before ranking.  Scores are rounded to 6 digits and
-    ties go to the smaller id; a zero query scores 0 everywhere.
+    ``allowed`` (``id``) is applied before ranking; ``own=False`` leaves out the row that is the query
+    itself (``id = qid``).  See ``block_topk``.
     """
     if allowed is not None:
         vectors = vectors.join(allowed.select("id").distinct(), "id", "left_semi")
-    corpus = vectors.where("embedding IS NOT NULL").select("id", unit(F.col("embedding")).alias("u"))
-    asked = queries.select("qid", unit(F.col("q")).alias("qu"))
-    score = F.aggregate(F.zip_with("u", "qu", lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
-    pairs = corpus.join(asked, F.size("u") == F.size("qu")).select("qid", "id", F.round(score, 6).alias("score"))
-    return top(pairs, k)
+    other = None if own else lambda s, rows, asked: np.where(asked["qid"].to_numpy()[:, None] == rows["id"].to_numpy()[None, :], np.nan, s)
+    return top(block_topk(vectors.select("id", "embedding"), queries.select("qid", "q"), k, other), k)
 
 
 def top(scored: DataFrame, k: int, score: str = "score") -> DataFrame:
@@ -47,20 +115,21 @@ def bm25(docs: DataFrame, queries: DataFrame, stem: Callable[[Column], Column] |
     """``qid, id, score`` of every document that holds a term of the query (``qid, query``); terms are alternatives.
 
     Corpus statistics are global: number of texts that aren't null, mean length over them, document
-    frequencies.  A term whose weight isn't positive counts 1e-6.  Only postings of asked terms are
-    joined.  A query without usable terms finds nothing.  Texts are spread by id first, so the scores
-    of many queries add up where the postings are.
+    frequencies.  A term whose weight isn't positive counts 1e-6.  A query without usable terms finds
+    nothing.
     """
     words = F.flatten(F.transform(query_terms(F.col("query")), lambda w: tokens(w)))
     asked = queries.select("qid", F.explode(F.array_distinct(stem(words) if stem else words)).alias("term"))
-    spoken = docs.where("content IS NOT NULL")
-    stats = spoken.agg(F.count("*").cast("double").alias("n"), F.avg(F.size(tokens(F.col("content")))).alias("avgdl"))
-    hit = postings(spoken.repartition("id"), stem).join(F.broadcast(asked.select("term").distinct()), "term")
+    spoken = docs.where("content IS NOT NULL").select("id", tokens(F.col("content")).alias("w"))
+    stats = spoken.agg(F.count("*").cast("double").alias("n"), F.avg(F.size("w")).alias("avgdl"))
+    terms = spoken.select("id", F.size("w").alias("dl"), F.explode(stem(F.col("w")) if stem else "w").alias("term"))
+    # only postings of asked terms leave the scan; they are spread by id once, for all that follows
+    hit = terms.join(asked.select("term").distinct(), "term", "left_semi").repartition("id").groupBy("id", "term").agg(F.count("*").alias("tf"), F.first("dl").alias("dl"))
     df = hit.groupBy("term").agg(F.count("*").cast("double").alias("df"))
     idf = F.log((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     part = F.greatest(idf, F.lit(1e-6)) * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
-    weighed = hit.join(F.broadcast(df), "term").join(F.broadcast(stats)).select("term", "id", part.alias("part"))
-    return weighed.join(F.broadcast(asked), "term").groupBy("qid", "id").agg(F.round(F.sum("part"), 6).alias("score"))
+    weighed = hit.join(df, "term").join(F.broadcast(stats)).select("term", "id", part.alias("part"))
+    return weighed.join(asked, "term").groupBy("qid", "id").agg(F.round(F.sum("part"), 6).alias("score"))
 
 
 def grep(docs: DataFrame, pattern: str, limit: int | None = None, exact: bool = False) -> DataFrame:

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from quern.functions.vectors import norm, unit, weighted
+from quern.operators.retrieval import block_topk, top
 from quern.session import cut
 
 BLOCK = 1000  #: vectors a block is planned for
@@ -113,25 +114,29 @@ def novelty(index: DataFrame, queries: DataFrame, k: int | None = None, decay: f
     The result is cut to [0, 1].
     """
     k = k or adaptive_k(index.count())
-    corpus = index.where("embedding IS NOT NULL").select("id", unit(F.col("embedding")).alias("u"), F.col("category").alias("c"), "age")
-    asked = queries.select("qid", unit(F.col("q")).alias("qu"), F.col("category").alias("qc"), "specificity")
-    score = F.aggregate(F.zip_with("u", "qu", lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
-    pairs = corpus.join(asked.select("qid", "qu", "qc"), F.size("u") == F.size("qu")).select("qid", "id", "qc", "c", "age", F.round(score, 6).alias("s"))
-    if own:
-        pairs = pairs.where("id <> qid")
-    if mode == "premultiply":
-        pairs = pairs.withColumn("s", F.round(F.col("s") * F.exp(-decay * F.coalesce("age", F.lit(0.0))), 6))
-        decay = 0.0
-
-    def one(rows: DataFrame, name: str) -> DataFrame:
-        order = Window.partitionBy("qid").orderBy(F.desc("s"), "id")
-        best = rows.withColumn("r", F.row_number().over(order)).where(F.col("r") <= k)
+    corpus = index.select("id", "embedding", F.col("category").alias("c"), F.col("age").cast("double").alias("age"))
+    asked = queries.select("qid", "q", F.col("category").alias("qc"), "specificity")
+    early = decay if mode == "premultiply" else 0.0
+    decay = 0.0 if mode == "premultiply" else decay
+
+    def one(name: str, within: bool) -> DataFrame:
+        def adjust(s, rows, asking):
+            if early:
+                s = s * np.exp(-early * rows["age"].fillna(0.0).to_numpy())
+            if own:
+                s = np.where(asking["qid"].to_numpy()[:, None] == rows["id"].to_numpy()[None, :], np.nan, s)
+            if within:
+                s = np.where(asking["qc"].to_numpy()[:, None] == rows["c"].to_numpy()[None, :], s, np.nan)
+            return s
+
+        best = top(block_topk(corpus, queries.select("qid", "q", F.col("category").alias("qc")), k, adjust), k).withColumnRenamed("score", "s")
         return best.groupBy("qid").agg((1 - decayed_mean(F.col("s"), F.col("age"), decay)).alias(name))
 
-    out = asked.join(one(pairs, "global"), "qid", "left").withColumn("global", F.coalesce("global", F.lit(1.0)))
+    asked = asked.withColumn("qu", unit(F.col("q"))).drop("q")
+    out = asked.join(one("global", False), "qid", "left").withColumn("global", F.coalesce("global", F.lit(1.0)))
     value = F.col("global")
     if local:
-        out = out.join(one(pairs.where("c = qc"), "local"), "qid", "left")
+        out = out.join(one("local", True), "qid", "left")
         value = F.when(F.col("local").isNull(), value).otherwise(0.4 * value + 0.6 * F.col("local"))
     else:
         out = out.withColumn("local", F.lit(None).cast("double"))

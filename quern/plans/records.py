@@ -387,7 +387,7 @@ def resolver_known(spark, d):
     return res.known_first(table(spark, d, "resolutions").select("res_id", "mention"), table(spark, d, "kb_candidates"))[0]
 
 
-_CAND = f"{_NAMES}, parts AS (SELECT DISTINCT qid, unnest(string_split(name, ' ')) AS part FROM names), asked AS (SELECT DISTINCT res_id, lower(type_hint) AS hint, unnest(string_split(lower(trim(mention)), ' ')) AS part FROM resolutions WHERE mention IS NOT NULL), rare AS (SELECT part FROM parts GROUP BY part HAVING count(*) <= 8), cand AS (SELECT DISTINCT a.res_id, a.hint, p.qid FROM asked a JOIN rare USING (part) JOIN parts p USING (part)), anchor AS (SELECT DISTINCT lower(trim(target_id)) AS q FROM entity_refs WHERE lower(trim(target_type)) = 'entity'), scored AS (SELECT c.res_id, c.qid, round(0.25 * CASE WHEN c.hint IS NULL OR c.hint = '' THEN 0.5 WHEN c.hint = k.type_hint THEN 1 ELSE 0.3 END + 0.15 + 0.2 * 0.5 + 0.3 * CASE WHEN a.q IS NULL THEN 0.3 ELSE 1 END + 0.1 * exp(-k.rank / 10.0), 6) AS total FROM cand c JOIN kb_candidates k USING (qid) LEFT JOIN anchor a ON a.q = lower(c.qid))"
+_CAND = f"{_NAMES}, parts AS (SELECT DISTINCT qid, unnest(string_split(name, ' ')) AS part FROM names), asked AS (SELECT DISTINCT res_id, lower(type_hint) AS hint, unnest(string_split(lower(trim(mention)), ' ')) AS part FROM resolutions WHERE mention IS NOT NULL), cand AS (SELECT DISTINCT a.res_id, a.hint, p.qid FROM asked a JOIN parts p USING (part)), anchor AS (SELECT DISTINCT lower(trim(target_id)) AS q FROM entity_refs WHERE lower(trim(target_type)) = 'entity'), scored AS (SELECT c.res_id, c.qid, round(0.25 * CASE WHEN c.hint IS NULL OR c.hint = '' THEN 0.5 WHEN c.hint = k.type_hint THEN 1 ELSE 0.3 END + 0.15 + 0.2 * 0.5 + 0.3 * CASE WHEN a.q IS NULL THEN 0.3 ELSE 1 END + 0.1 * exp(-k.rank / 10.0), 6) AS total FROM cand c JOIN kb_candidates k USING (qid) LEFT JOIN anchor a ON a.q = lower(c.qid))"
 
 
 def _candidates(spark, d):

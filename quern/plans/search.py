@@ -23,7 +23,7 @@ def units(name: str = "u") -> str:
 
 
 SCORES = f"""{units()},
-scored AS (SELECT q.id AS qid, c.id, c.label, round(list_inner_product(q.u, c.u), 6) AS score FROM u q, u c WHERE q.id IN (0, 1, 2, 3, 4))"""
+scored AS (SELECT q.id AS qid, c.id, c.label, round(list_inner_product(q.u, c.u), 6) AS score FROM u q, u c WHERE q.id % 50 = 0)"""
 
 
 def topk(source: str, k: int, extra: str = "") -> str:
@@ -65,13 +65,10 @@ def vec_topk_filtered(spark, d):
 @register(f"WITH {units()}, scored AS (SELECT q.id AS qid, c.id, round(list_inner_product(q.u, c.u), 6) AS score FROM u q, u c WHERE q.id % 50 = 0 AND c.id <> q.id) {topk('scored', 5)}")
 def vec_topk_batch(spark, d):
     """Queries are the rows whose id is divisible by 50, against all rows."""
-    v = vectors(spark, d)
-    q = v.where("id % 50 = 0").select(F.col("id").alias("qid"), F.col("embedding").alias("q"))
-    got = retrieval.vector_topk(v, q, 6).where("id <> qid")
-    return retrieval.top(got.drop("rank"), 5)
+    return retrieval.vector_topk(vectors(spark, d), vector_queries(spark, d), 5, own=False)
 
 
-@register(f"WITH u AS (SELECT vec_id AS id, {UNIT.format(v='embedding[1:32]')} AS u FROM embeddings), scored AS (SELECT q.id AS qid, c.id, round(list_inner_product(q.u, c.u), 6) AS score FROM u q, u c WHERE q.id IN (0, 1, 2, 3, 4)) {topk('scored', 10)}")
+@register(f"WITH u AS (SELECT vec_id AS id, {UNIT.format(v='embedding[1:32]')} AS u FROM embeddings), scored AS (SELECT q.id AS qid, c.id, round(list_inner_product(q.u, c.u), 6) AS score FROM u q, u c WHERE q.id % 50 = 0) {topk('scored', 10)}")
 def matryoshka_topk(spark, d):
     v = vectors(spark, d).select("id", truncate(F.col("embedding"), 32).alias("embedding"))
     return retrieval.vector_topk(v, v.where(ASKED).select(F.col("id").alias("qid"), F.col("embedding").alias("q")))
@@ -118,8 +115,10 @@ def grep_exact(spark, d):
     return retrieval.grep(docs(spark, d), "merge_", exact=True)
 
 
-_HYBRID = f"""{units()}, {BM25.replace('scored AS', 'ftscored AS')},
-vscored AS (SELECT q.id AS qid, c.id, round(list_inner_product(q.u, c.u), 6) AS score FROM u q, u c WHERE q.id IN (0, 1, 2, 3, 4)),
+_BM25_DOCS = BM25[BM25.index("asked AS") :].replace("FROM queries)", "FROM (SELECT doc_id AS qid, text AS query FROM documents WHERE doc_id % 50 = 0 AND text IS NOT NULL))")
+_BM25_DOCS = _BM25_DOCS.replace("SELECT DISTINCT qid, lower(t) AS term FROM (", "SELECT DISTINCT qid, unnest(regexp_extract_all(lower(t), '[\\p{L}\\p{N}]+')) AS term FROM (").replace("scored AS", "ftscored AS")
+_HYBRID = f"""{units()}, {_BM25_DOCS},
+vscored AS (SELECT q.id AS qid, c.id, round(list_inner_product(q.u, c.u), 6) AS score FROM u q, u c WHERE q.id % 50 = 0),
 vlist AS ({topk('vscored', 50)}), flist AS ({topk('ftscored', 50)}),
 lists AS (SELECT qid, id, rank FROM vlist UNION ALL SELECT qid, id, rank FROM flist),
 fused AS (SELECT qid, id, round(sum(1.0 / (60 + rank)), 6) AS score FROM lists GROUP BY qid, id)"""
@@ -156,8 +155,8 @@ def rrf_no_bonus(spark, d):
     return retrieval.rrf(result_lists(spark, d), bonus=False).drop("traces")
 
 
-_CONVEX = f"""{units()}, {BM25.replace('scored AS', 'ftscored AS')},
-vscored AS (SELECT q.id AS qid, c.id, round(list_inner_product(q.u, c.u), 6) AS score FROM u q, u c WHERE q.id IN (0, 1, 2, 3, 4)),
+_CONVEX = f"""{units()}, {_BM25_DOCS},
+vscored AS (SELECT q.id AS qid, c.id, round(list_inner_product(q.u, c.u), 6) AS score FROM u q, u c WHERE q.id % 50 = 0),
 vlist AS ({topk('vscored', 50)}), flist AS ({topk('ftscored', 50)}),
 a AS (SELECT qid, id, CASE WHEN max(score) OVER w > min(score) OVER w THEN (score - min(score) OVER w) / (max(score) OVER w - min(score) OVER w) ELSE 0 END AS a FROM vlist WINDOW w AS (PARTITION BY qid)),
 b AS (SELECT qid, id, CASE WHEN max(score) OVER w > min(score) OVER w THEN (score - min(score) OVER w) / (max(score) OVER w - min(score) OVER w) ELSE 0 END AS b FROM flist WINDOW w AS (PARTITION BY qid))"""

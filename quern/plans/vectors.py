@@ -79,8 +79,8 @@ def _novelty_parts(spark, d):
     return index, v.where(ASKED).select(F.col("id").alias("qid"), F.col("embedding").alias("q"), F.col("label").alias("category"), spec.alias("specificity"))
 
 
-_NOV = f"""{units()}, k AS (SELECT CASE WHEN count(*) <= 50 THEN 1 WHEN count(*) <= 200 THEN 3 WHEN count(*) <= 1000 THEN 5 ELSE 10 END AS k FROM u WHERE id % 50 <> 0),
-s AS (SELECT q.id AS qid, q.label AS qc, c.id, c.label AS c, c.id % 90 AS age, round(list_inner_product(q.u, c.u), 6) AS s FROM u q, u c WHERE q.id % 50 = 0 AND c.id % 50 <> 0),
+_NOV = f"""{units()}, k AS (SELECT CASE WHEN count(*) <= 50 THEN 1 WHEN count(*) <= 200 THEN 3 WHEN count(*) <= 1000 THEN 5 ELSE 10 END AS k FROM u),
+s AS (SELECT q.id AS qid, q.label AS qc, c.id, c.label AS c, c.id % 90 AS age, round(list_inner_product(q.u, c.u), 6) AS s FROM u q, u c WHERE q.id % 50 = 0 AND c.id <> q.id),
 g AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY s DESC, id) AS r FROM s), l AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY s DESC, id) AS r FROM s WHERE c = qc),
 gm AS (SELECT qid, 1 - avg(s) AS g, 1 - sum(s * exp(-0.02 * age)) / sum(exp(-0.02 * age)) AS gd FROM g, k WHERE r <= k.k GROUP BY qid), lm AS (SELECT qid, 1 - avg(s) AS l FROM l, k WHERE r <= k.k GROUP BY qid)"""
 _CUT = "round(greatest(0, least(1, {})), 6)"
@@ -107,7 +107,7 @@ def novelty_premultiplied(spark, d):
 
 
 @register(
-    f"WITH {_NOV}, e AS (SELECT generate_subscripts(u, 1) AS i, unnest(u) AS x FROM u WHERE id % 50 <> 0), m AS (SELECT list(x ORDER BY i) AS m FROM (SELECT i, avg(x) AS x FROM e GROUP BY i)) "
+    f"WITH {_NOV}, e AS (SELECT generate_subscripts(u, 1) AS i, unnest(u) AS x FROM u), m AS (SELECT list(x ORDER BY i) AS m FROM (SELECT i, avg(x) AS x FROM e GROUP BY i)) "
     f"SELECT qid, {_CUT.format('(0.7 * (CASE WHEN l IS NULL THEN g ELSE 0.4 * g + 0.6 * l END) + 0.3 * (1 - list_inner_product(u.u, m.m) / (greatest(sqrt(list_inner_product(u.u, u.u)), 1e-8) * greatest(sqrt(list_inner_product(m.m, m.m)), 1e-8)))) * CASE WHEN label < 3 THEN 1 WHEN label < 6 THEN 0.8 WHEN label < 8 THEN 0.3 ELSE 1 END')} AS novelty FROM gm LEFT JOIN lm USING (qid) JOIN u ON u.id = qid, m"
 )
 def novelty_specific(spark, d):
@@ -181,7 +181,7 @@ def whiten_pca(spark, d):
     return _whitened(spark, d, "pca", k=16)
 
 
-@register(f"WITH {units()}, rel AS (SELECT q.id AS qid, c.id, 1 AS rel FROM u q JOIN u c ON c.label = q.label WHERE q.id IN (0, 1, 2, 3, 4)), scored AS (SELECT q.id AS qid, c.id, round(list_inner_product(q.u, c.u), 6) AS score FROM u q, u c WHERE q.id IN (0, 1, 2, 3, 4)), ranked AS ({topk('scored', 10)}), hit AS (SELECT qid, sum(1 / log2(rank + 1)) AS dcg, min(rank) AS first, count(*) AS found FROM ranked JOIN rel USING (qid, id) GROUP BY qid), ideal AS (SELECT qid, count(*) AS n, sum(CASE WHEN r <= 10 THEN 1 / log2(r + 1) END) AS idcg FROM (SELECT qid, row_number() OVER (PARTITION BY qid ORDER BY id) AS r FROM rel) GROUP BY qid) SELECT qid, round(coalesce(dcg / idcg, 0), 6) AS ndcg, round(coalesce(1.0 / first, 0), 6) AS mrr, round(coalesce(found / n, 0), 6) AS recall FROM ideal LEFT JOIN hit USING (qid)")
+@register(f"WITH {units()}, rel AS (SELECT q.id AS qid, c.id, 1 AS rel FROM u q JOIN u c ON c.label = q.label WHERE q.id % 50 = 0), scored AS (SELECT q.id AS qid, c.id, round(list_inner_product(q.u, c.u), 6) AS score FROM u q, u c WHERE q.id % 50 = 0), ranked AS ({topk('scored', 10)}), hit AS (SELECT qid, sum(1 / log2(rank + 1)) AS dcg, min(rank) AS first, count(*) AS found FROM ranked JOIN rel USING (qid, id) GROUP BY qid), ideal AS (SELECT qid, count(*) AS n, sum(CASE WHEN r <= 10 THEN 1 / log2(r + 1) END) AS idcg FROM (SELECT qid, row_number() OVER (PARTITION BY qid ORDER BY id) AS r FROM rel) GROUP BY qid) SELECT qid, round(coalesce(dcg / idcg, 0), 6) AS ndcg, round(coalesce(1.0 / first, 0), 6) AS mrr, round(coalesce(found / n, 0), 6) AS recall FROM ideal LEFT JOIN hit USING (qid)")
 def retrieval_metrics(spark, d):
     """Rows of the query's label count as relevant."""
     v = vectors(spark, d)
