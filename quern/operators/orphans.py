@@ -1,13 +1,17 @@
 """References to records that do not exist.
 
-Parent keys are spread over ranges of the hashed key space and kept as sorted arrays per range.
-References are reduced to their distinct targets first (map-side), so a target that holds a third
-of all references is one probe.  Each range probes its targets in vectorised batches by binary
-search; the misses go back to the referring rows or into counts per table and month.
+Parent keys and the distinct targets of references are partitioned together by ranges of the key
+(the boundaries come from a sample of both sides, so few parents with many targets make as many ranges
+as many parents do) and sorted inside their range.  A range streams by in batches: each holds a
+sorted array of parents, in which its targets are looked up by one vectorised binary search.  A target
+that holds a third of all references is one probe.  The misses go back to the referring rows or into
+counts per table and month.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -16,51 +20,32 @@ from pyspark.sql import functions as F
 from quern.functions.keys import key, path_key
 from quern.session import cut
 
-RANGE = 200_000  #: parent keys a range is planned for
-
-
-def _hash(strings: pd.Series) -> np.ndarray:
-    return pd.util.hash_array(strings.to_numpy(dtype=object), categorize=False)
-
 
-def probe(parents: DataFrame, targets: DataFrame, ranges: int) -> DataFrame:
+def probe(parents: DataFrame, targets: DataFrame) -> DataFrame:
     """``kind, target`` of the targets without a parent; both sides ``kind, target`` and distinct.
 
-    A probe searches the sorted hashes and then compares the keys themselves, so equal hashes of
-    different keys do no harm.
+    Equal keys share a range, a parent before its target, so memory holds a batch and the last parent
+    before it.
     """
-    at = F.pmod(F.xxhash64("kind", "target"), F.lit(ranges)).alias("range")
-
-    def run(ask: pd.DataFrame, have: pd.DataFrame) -> pd.DataFrame:
-        if not len(ask):
-            return pd.DataFrame(columns=["kind", "target"])
-        wanted = ask["kind"] + "\u0001" + ask["target"]
-        if not len(have):
-            return ask[["kind", "target"]]
-        names = (have["kind"] + "\u0001" + have["target"]).to_numpy(dtype=object)
-        hashed = _hash(have["kind"] + "\u0001" + have["target"])
-        order = np.argsort(hashed, kind="stable")
-        hashed, names = hashed[order], names[order]
-        asked = _hash(wanted)
-        keys = wanted.to_numpy(dtype=object)
-        place = np.searchsorted(hashed, asked)
-        found = np.zeros(len(ask), dtype=bool)
-        open_ = np.ones(len(ask), dtype=bool)
-        while open_.any():  # a run of equal hashes is longer than one only by accident
-            open_ &= place < len(hashed)
-            inside = np.flatnonzero(open_)
-            same = hashed[place[inside]] == asked[inside]
-            open_[inside[~same]] = False
-            inside = inside[same]
-            hit = names[place[inside]] == keys[inside]
-            found[inside[hit]] = True
-            open_[inside[hit]] = False
-            place[inside[~hit]] += 1
-        return ask.loc[~found, ["kind", "target"]]
-
-    left = targets.select("kind", "target", at).groupBy("range")
-    right = parents.select("kind", "target", at).groupBy("range")
-    return left.cogroup(right).applyInPandas(run, "kind string, target string")
+    name = F.concat_ws("\u0001", "kind", "target").alias("k")
+    both = parents.select(name, F.lit(False).alias("asked"), "kind", "target").unionByName(targets.select(name, F.lit(True).alias("asked"), "kind", "target"))
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        last = None
+        for batch in batches:
+            asked = batch["asked"].to_numpy(dtype=bool)
+            names = batch["k"].to_numpy(dtype=object)
+            have = names[~asked] if last is None else np.concatenate([[last], names[~asked]])
+            wanted = names[asked]
+            if len(have):
+                place = np.searchsorted(have, wanted, side="right") - 1
+                lost = (place < 0) | (have[np.maximum(place, 0)] != wanted)
+                last = have[-1]
+            else:
+                lost = np.ones(len(wanted), dtype=bool)
+            yield batch.loc[asked, ["kind", "target"]][lost]
+
+    return both.repartitionByRange("k").sortWithinPartitions("k", "asked").mapInPandas(run, "kind string, target string")
 
 
 def parent_keys(documents: DataFrame, items: DataFrame, candidates: DataFrame) -> DataFrame:
@@ -82,9 +67,7 @@ def references(chunks: DataFrame, refs: DataFrame) -> DataFrame:
 
 def missing_targets(parents: DataFrame, refs: DataFrame) -> DataFrame:
     """``kind, target`` of distinct targets without a parent."""
-    parents = cut(parents)
-    ranges = max(8, -(-parents.count() // RANGE))
-    return probe(parents, refs.select("kind", "target").distinct(), ranges)
+    return probe(parents, refs.select("kind", "target").distinct())
 
 
 def orphans(parents: DataFrame, refs: DataFrame) -> DataFrame:
