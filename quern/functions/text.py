@@ -24,27 +24,32 @@ def tokens(col: Column) -> Column:
     return F.coalesce(F.regexp_extract_all(F.lower(col), F.lit(TOKEN), F.lit(0)), F.array().cast("array<string>"))
 
 
-# The substitutions that make claims comparable, in their order.
+# What is deleted to make claims comparable, in this order; ``(?i)`` without regard to case.
 GENERIC = [
-    (r"https?://\S+", "[URL]"),
-    (r"\b[\w.+-]+@[\w-]+\.[\w.-]+\b", "[EMAIL]"),
-    (r"\b\d{4}-\d{2}-\d{2}\b", "[DATE]"),
-    (r"\b\d{1,2}/\d{1,2}/\d{2,4}\b", "[DATE]"),
-    (r"\b(?:January|February|March|April|May|June|July|August|September|October|November|December)\s+\d{4}\b", "[DATE]"),
-    (r"\b20\d{2}\b", "[YEAR]"),
-    (r"\b19\d{2}\b", "[YEAR]"),
-    (r"\b\d+(?:\.\d+)?%", "[PERCENT]"),
-    (r"[$€£]\s?\d[\d,]*(?:\.\d+)?", "[AMOUNT]"),
-    (r"\b\d[\d,]*(?:\.\d+)?\b", "[NUM]"),
-    (r"\s+", " "),
+    r"https?://\S+",
+    r"\S+@\S+\.\S+",
+    r"\b\d{4}[-/]\d{1,2}[-/]\d{1,2}\b",
+    r"\b\d{1,2}[-/]\d{1,2}[-/]\d{4}\b",
+    r"(?i)\b(?:January|February|March|April|May|June|July|August|September|October|November|December)\s+\d{4}\b",
+    r"\b20[0-9]{2}(?:\s*[-–]\s*20[0-9]{2})?\b",
+    r"\b19[0-9]{2}(?:\s*[-–]\s*19[0-9]{2})?\b",
+    r"\d[\d,.]*\s*%",
+    r"(?i)[$€£]\s*\d[\d,.]*(?:\s*(?:million|billion|trillion|[MBT]))?",
+    r"\b\d[\d,.]*\b",
 ]
+BLANKS = r"\s{2,}"  #: becomes one blank
+#: Blanks as scripts know them, for the regular expressions of the JVM: ``\s`` alone lacks some, and has one too few.
+_BLANK = r"[\s\x1c-\x1f]"
 
 
 def genericise(col: Column) -> Column:
-    """Replaces links, addresses, dates, years, shares, amounts and numbers by their kind, in that order."""
-    for pattern, kind in GENERIC:
-        col = F.regexp_replace(col, pattern, F.lit(kind.replace("$", r"\$")))
-    return F.regexp_replace(col, r"^\s+|\s+$", "")
+    """Deletes links, addresses, dates, years, shares, amounts and numbers, in that order, then joins blanks.
+
+    Word edges, digits and blanks are those of Unicode.  Null stays null.
+    """
+    for pattern in GENERIC:
+        col = F.regexp_replace(col, "(?U)" + pattern.replace(r"\s", _BLANK).replace(r"\S", r"[^\s\x1c-\x1f]"), "")
+    return F.regexp_replace(F.regexp_replace(col, "(?U)" + BLANKS.replace(r"\s", _BLANK), " "), rf"(?U)^{_BLANK}+|{_BLANK}+$", "")
 
 
 _VOWEL = "aeiou"

@@ -100,7 +100,9 @@ def cluster_agreement(a: DataFrame, b: DataFrame) -> DataFrame:
     return both.join(xa).join(yb).select(F.col("both").cast("long").alias("both"), (F.col("pa") - F.col("both")).cast("long").alias("only_a"), (F.col("pb") - F.col("both")).cast("long").alias("only_b"))
 
 
-def latest_version(rows: DataFrame, key: str, version: str) -> DataFrame:
-    """Row of the greatest version a key."""
-    order = Window.partitionBy(key).orderBy(F.desc_nulls_last(version))
-    return rows.withColumn("_n", F.row_number().over(order)).where("_n = 1").drop("_n")
+def latest_version(rows: DataFrame, keys: str | list[str], version: str) -> DataFrame:
+    """One row a key: that of the greatest version (null last); of several the one with the greatest other values."""
+    keys = [keys] if isinstance(keys, str) else keys
+    rest = [c for c in rows.columns if c not in (*keys, version)]
+    best = F.max(F.struct(F.col(version), *[F.col(c) for c in rest])).alias("_b")
+    return rows.groupBy(*keys).agg(best).select(*keys, f"_b.{version}", *[f"_b.{c}" for c in rest])

@@ -90,6 +90,19 @@ def best_f1(scored: DataFrame, steps: int = 200) -> DataFrame:
     return out.orderBy(F.desc("f1"), "threshold").limit(1)
 
 
+def best_accuracy(scored: DataFrame, steps: int = 200) -> DataFrame:
+    """``threshold, accuracy`` of the most accurate of ``steps`` thresholds over the range of the scores (>= is positive), the smallest of several."""
+    s = scored.where("score IS NOT NULL AND truth IS NOT NULL")
+    span = s.agg(F.min("score").alias("lo"), F.max("score").alias("hi"))
+    step = F.when(F.col("hi") > F.col("lo"), F.floor((F.col("score") - F.col("lo")) / (F.col("hi") - F.col("lo")) * (steps - 1) + F.lit(1e-9))).otherwise(0)
+    b = s.join(F.broadcast(span)).groupBy(step.cast("long").alias("step"), "lo", "hi").agg(F.count("*").alias("n"), F.count_if(F.col("truth")).alias("p"))
+    w, every = Window.orderBy(F.desc("step")), Window.partitionBy()  # at most ``steps`` rows
+    r = b.select("step", "lo", "hi", F.sum("n").over(w).alias("said"), F.sum("p").over(w).alias("tp"), F.sum("p").over(every).alias("pos"), F.sum("n").over(every).alias("n"))
+    right = (F.col("tp") + F.col("n") - F.col("pos") - (F.col("said") - F.col("tp"))) / F.col("n")
+    out = r.select(F.round(F.col("lo") + (F.col("hi") - F.col("lo")) * F.col("step") / (steps - 1), 6).alias("threshold"), F.round(right, 6).alias("accuracy"))
+    return out.orderBy(F.desc("accuracy"), "threshold").limit(1)
+
+
 def correlations(df: DataFrame, x: str, y: str) -> DataFrame:
     """``n, pearson, spearman, mae``; ranks of ties are averaged; a constant column has no correlation."""
     rows = df.where(F.col(x).isNotNull() & F.col(y).isNotNull()).select(F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y"))

@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from quern.session import cut
+
 # States that end an item, and what results mean for it.
 DONE = ("done", "verified", "applied", "skipped")
 RESULT_STATUS = {"verified": "done", "flagged": "needs_review", "error": "error"}
@@ -60,7 +62,7 @@ def run_batches(items: DataFrame, process: Callable[[DataFrame], DataFrame], bat
             break
         batch = items.where(F.col("seq").between(start, start + batch_size - 1))
         try:
-            got = process(batch).cache()
+            got = cut(process(batch))
             cost = got.agg(F.coalesce(F.sum("cost"), F.lit(0.0))).first()[0]
         except Exception as e:  # noqa: BLE001 - a failed batch is a result
             got = batch.select("item_id", "seq", F.lit("error").alias("status"), F.lit(0.0).alias("cost"), F.lit(str(e)[:200]).alias("error"))
@@ -127,25 +129,35 @@ def cost_summary(costs: DataFrame, *by: str) -> DataFrame:
         raise ValueError(f"can be grouped by {', '.join(SUMMARY_KEYS)}")
     g = costs.groupingSets([[b] for b in by], *by)
     return g.agg(
-        F.count("*").alias("calls"), F.sum("prompt_tokens").alias("prompt_tokens"), F.sum("completion_tokens").alias("completion_tokens"),
+        F.count("*").alias("calls"), F.sum("prompt_tokens").alias("prompt_tokens"), F.sum("completion_tokens").alias("completion_tokens"), *([F.sum("cached_tokens").alias("cached_tokens")] if "cached_tokens" in costs.columns else []),
         F.round(F.sum("cost_usd"), 4).alias("cost_usd"), F.min("ts").alias("first_ts"), F.max("ts").alias("last_ts"),
     )
 
 
 def cost_daily(costs: DataFrame) -> DataFrame:
-    return costs.groupBy(F.to_date("ts").alias("day"), "project").agg(F.round(F.sum("cost_usd"), 4).alias("cost_usd"))
+    return costs.groupBy(F.to_date("ts").alias("day"), "project").agg(F.round(F.sum("cost_usd"), 6).alias("cost_usd"))
 
 
-# Dollars for a million prompt and completion tokens; callers pass their own table.
-PRICES = {"small": (0.15, 0.60), "medium": (0.50, 1.50), "large": (3.00, 15.00)}
+# Dollars for a million prompt and completion tokens.
+PRICES = {
+    "gemini-2.0-flash": (0.10, 0.40),
+    "gemini-2.0-flash-lite": (0.075, 0.30),
+    "gemini-2.5-flash": (0.30, 2.50),
+    "gemini-2.5-flash-lite": (0.15, 0.60),
+    "gemini-2.5-pro": (1.25, 10.00),
+    "gemini-3-flash-preview": (0.30, 2.50),
+    "gemini-3.1-flash-lite-preview": (0.15, 0.60),
+    "claude-sonnet-4-20250514": (3.00, 15.00),
+    "claude-haiku-4-5-20241022": (0.80, 4.00),
+}
 
 
 def cost_of(calls: DataFrame, prices: dict[str, tuple[float, float]] | None = None) -> DataFrame:
-    """Adds ``computed``: dollars by the price of the model (a provider prefix is dropped); an unknown model costs 0."""
+    """Adds ``computed``: dollars by the price of the model (a ``gemini/`` prefix is dropped); null for an unknown model."""
     table = prices or PRICES
-    m = F.regexp_replace("model", "^[a-z]+/", "")
+    m = F.regexp_replace("model", "^gemini/", "")
     price = [F.create_map(*[F.lit(x) for k, v in table.items() for x in (k, v[i])])[m] for i in (0, 1)]
-    return calls.withColumn("computed", F.round(F.coalesce((F.col("prompt_tokens") * price[0] + F.col("completion_tokens") * price[1]) / 1e6, F.lit(0.0)), 9))
+    return calls.withColumn("computed", F.round((F.col("prompt_tokens") * price[0] + F.col("completion_tokens") * price[1]) / 1e6, 9))
 
 
 def merge_ignoring(local: DataFrame, remote: DataFrame, key: str = "id") -> DataFrame:

@@ -52,6 +52,24 @@ def decide(scored: DataFrame, by: str = "mention_id") -> DataFrame:
     return best.select(by, F.when(clear, "resolved").otherwise("ambiguous").alias("status"), F.when(clear, F.col("a.qid")).alias("qid"), F.round("a.total", 6).alias("score"))
 
 
+def decide_guarded(scored: DataFrame, by: str = "mention_id") -> DataFrame:
+    """Decisions of ``decide`` without those whose chosen candidate is ``weak``; they are ambiguous."""
+    made = decide(scored, by).join(scored.select(by, "qid", F.col("weak").alias("_w")), [by, "qid"], "left")
+    vetoed = F.coalesce("_w", F.lit(False))
+    return made.select(by, F.when(vetoed, "ambiguous").otherwise(F.col("status")).alias("status"), F.when(~vetoed, F.col("qid")).alias("qid"), "score")
+
+
+def retry(mentions: DataFrame, catalogue: DataFrame) -> DataFrame:
+    """``res_id, qid, tried``: mentions that equal one entity's name, and of the rest those that do in another spelling of a ruler's name.
+
+    A mention whose spellings lead to several entities stays open.
+    """
+    first, rest = known_first(mentions, catalogue)
+    variants = rest.where("mention IS NOT NULL").select("res_id", F.explode(F.slice(regnal_variants(F.col("mention")), 2, 100)).alias("mention"))
+    again = known_first(variants, catalogue)[0].groupBy("res_id").agg(F.min("qid").alias("qid"), F.max("qid").alias("q2")).where("qid = q2").drop("q2")
+    return first.select("res_id", "qid", F.lit(1).alias("tried")).unionByName(again.select("res_id", "qid", F.lit(2).alias("tried")))
+
+
 def weak_structural(hint: Column, type_: Column, date: Column) -> Column:
     """A decision with a hint, but neither type nor dates behind it, is vetoed."""
     return hint.isNotNull() & (type_ < 0.5) & (date < 0.5)

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from quern.functions.vectors import norm, unit, weighted
+from quern.functions.vectors import cosine, norm, unit, weighted
 from quern.operators.retrieval import block_topk, top
 from quern.session import cut
 
@@ -181,6 +181,35 @@ def document_similarity(docs: DataFrame, weights: dict[str, float], threshold: f
     return cosine_pairs(merged, threshold).select(F.col("a").alias("id_a"), F.col("b").alias("id_b"), F.round("score", 4).alias("score"))
 
 
+def field_scores(pairs: DataFrame, docs: DataFrame, names: list[str]) -> DataFrame:
+    """Adds to pairs (``id_a, id_b``) the cosine of each field, four digits; null where a document lacks it."""
+    a = docs.select(F.col("id").alias("id_a"), *[F.col(n).alias(f"_a_{n}") for n in names])
+    b = docs.select(F.col("id").alias("id_b"), *[F.col(n).alias(f"_b_{n}") for n in names])
+    both = pairs.join(a, "id_a").join(b, "id_b")
+    return both.select(*pairs.columns, *[(F.round(cosine(F.col(f"_a_{n}"), F.col(f"_b_{n}")), 4) + 0.0).alias(n) for n in names])
+
+
+def recency_truth(vectors: DataFrame, asked: DataFrame, window: float = 7.0, known: float = 0.70, novel: float = 0.45) -> DataFrame:
+    """``qid, recent, old, label``: the greatest similarity of each asked row (``id, embedding, day``) to earlier ones.
+
+    Earlier rows (smaller id) of the last ``window`` days and older ones are looked at apart; without
+    any the similarity is 0.  KNOWN from ``known`` on, NOVEL up to ``novel``, else AMBIGUOUS.
+    """
+    queries = asked.select(F.col("id").alias("qid"), F.col("embedding").alias("q"), F.col("day").alias("today"))
+
+    def greatest(name: str, recent: bool) -> DataFrame:
+        def adjust(s, rows, q):
+            age = q["today"].to_numpy()[:, None] - rows["day"].to_numpy()[None, :]
+            earlier = rows["id"].to_numpy()[None, :] < q["qid"].to_numpy()[:, None]
+            return np.where(earlier & ((age <= window) if recent else (age > window)), s, np.nan)
+
+        return top(block_topk(vectors.select("id", "embedding", "day"), queries, 1, adjust), 1).select("qid", F.col("score").alias(name))
+
+    out = queries.select("qid").join(greatest("recent", True), "qid", "left").join(greatest("old", False), "qid", "left")
+    out = out.select("qid", *[F.round(F.coalesce(c, F.lit(0.0)), 4).alias(c) for c in ("recent", "old")])
+    return out.withColumn("label", F.when(F.col("recent") >= known, "KNOWN").when(F.col("recent") <= novel, "NOVEL").otherwise("AMBIGUOUS"))
+
+
 def connected(edges: DataFrame) -> DataFrame:
     """``id, component`` (smallest id) of the ends of ``a, b`` by large-star and small-star steps.
 

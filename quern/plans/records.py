@@ -233,19 +233,19 @@ def audit_since(spark, d):
     return table(spark, d, "items").where("ts >= TIMESTAMP_NTZ '2025-01-15 00:00:00'").select("seq", "item_id")
 
 
-_COSTS = "costs AS (SELECT event_id AS id, strftime(ts, '%Y-%m-%dT%H:%M:%S') AS ts, concat('project', user_id % 5) AS project, concat('host', user_id % 3) AS host, CASE event_id % 4 WHEN 0 THEN 'small' WHEN 1 THEN 'provider/medium' WHEN 2 THEN 'large' ELSE 'other' END AS model, event_id % 1000 AS prompt_tokens, event_id % 300 AS completion_tokens, round(coalesce(value, 0) / 1000, 6) AS cost_usd FROM events)"
+_COSTS = "costs AS (SELECT event_id AS id, strftime(ts, '%Y-%m-%dT%H:%M:%S') AS ts, concat('project', user_id % 5) AS project, concat('host', user_id % 3) AS host, CASE event_id % 4 WHEN 0 THEN 'gemini-2.5-flash' WHEN 1 THEN 'gemini/gemini-2.0-flash' WHEN 2 THEN 'gemini-2.5-pro' ELSE 'other' END AS model, event_id % 1000 AS prompt_tokens, event_id % 300 AS completion_tokens, event_id % 70 AS cached_tokens, round(coalesce(value, 0) / 1000, 6) AS cost_usd FROM events)"
 
 
 def _costs(spark, d):
     m = F.col("event_id") % 4
     return table(spark, d, "events").select(
         F.col("event_id").alias("id"), F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss").alias("ts"), F.concat(F.lit("project"), F.col("user_id") % 5).alias("project"), F.concat(F.lit("host"), F.col("user_id") % 3).alias("host"),
-        F.when(m == 0, "small").when(m == 1, "provider/medium").when(m == 2, "large").otherwise("other").alias("model"),
+        F.when(m == 0, "gemini-2.5-flash").when(m == 1, "gemini/gemini-2.0-flash").when(m == 2, "gemini-2.5-pro").otherwise("other").alias("model"), (F.col("event_id") % 70).alias("cached_tokens"),
         (F.col("event_id") % 1000).alias("prompt_tokens"), (F.col("event_id") % 300).alias("completion_tokens"), F.round(F.coalesce("value", F.lit(0.0)) / 1000, 6).alias("cost_usd"),
     )
 
 
-@register(f"WITH {_COSTS} SELECT project, model, host, count(*) AS calls, sum(prompt_tokens) AS prompt_tokens, sum(completion_tokens) AS completion_tokens, round(sum(cost_usd), 4) AS cost_usd, min(ts) AS first_ts, max(ts) AS last_ts FROM costs GROUP BY GROUPING SETS ((project), (model), (host))")
+@register(f"WITH {_COSTS} SELECT project, model, host, count(*) AS calls, sum(prompt_tokens) AS prompt_tokens, sum(completion_tokens) AS completion_tokens, sum(cached_tokens) AS cached_tokens, round(sum(cost_usd), 4) AS cost_usd, min(ts) AS first_ts, max(ts) AS last_ts FROM costs GROUP BY GROUPING SETS ((project), (model), (host))")
 def cost_summary_sets(spark, d):
     return ops.cost_summary(_costs(spark, d), "project", "model", "host")
 
@@ -255,14 +255,14 @@ def cost_total(spark, d):
     return _costs(spark, d).agg(F.round(F.coalesce(F.sum("cost_usd"), F.lit(0.0)), 4).alias("cost_usd"))
 
 
-@register(f"WITH {_COSTS} SELECT substr(ts, 1, 10) AS day, project, round(sum(cost_usd), 4) AS cost_usd FROM costs GROUP BY 1, 2")
+@register(f"WITH {_COSTS} SELECT substr(ts, 1, 10) AS day, project, round(sum(cost_usd), 6) AS cost_usd FROM costs GROUP BY 1, 2")
 def cost_daily(spark, d):
     return ops.cost_daily(_costs(spark, d)).select(F.col("day").cast("string").alias("day"), "project", "cost_usd")
 
 
-@register(f"WITH {_COSTS} SELECT id, ts, project, model FROM costs WHERE project = 'project1' AND model ILIKE '%MEDIUM%'")
+@register(f"WITH {_COSTS} SELECT id, ts, project, model FROM costs WHERE project = 'project1' AND model ILIKE '%2.0-FLASH%'")
 def cost_filter_like(spark, d):
-    return ops.cost_filter(_costs(spark, d), project="project1", model_like="MEDIUM").select("id", "ts", "project", "model")
+    return ops.cost_filter(_costs(spark, d), project="project1", model_like="2.0-FLASH").select("id", "ts", "project", "model")
 
 
 @register(f"WITH {_COSTS}, l AS (SELECT id, project FROM costs WHERE id % 3 <> 0) SELECT id, project FROM l UNION ALL SELECT id, 'remote' FROM costs WHERE id % 2 = 0 AND id NOT IN (SELECT id FROM l)")
@@ -271,7 +271,7 @@ def cost_merge_ignore(spark, d):
     return ops.merge_ignoring(c.where("id % 3 <> 0"), c.where("id % 2 = 0").withColumn("project", F.lit("remote")))
 
 
-@register(f"WITH {_COSTS} SELECT id, round(CASE regexp_replace(model, '^[a-z]+/', '') WHEN 'small' THEN (prompt_tokens * 0.15 + completion_tokens * 0.6) / 1e6 WHEN 'medium' THEN (prompt_tokens * 0.5 + completion_tokens * 1.5) / 1e6 WHEN 'large' THEN (prompt_tokens * 3.0 + completion_tokens * 15.0) / 1e6 ELSE 0 END, 9) AS computed FROM costs")
+@register(f"WITH {_COSTS} SELECT id, round(CASE model WHEN 'gemini-2.5-flash' THEN (prompt_tokens * 0.3 + completion_tokens * 2.5) / 1e6 WHEN 'gemini/gemini-2.0-flash' THEN (prompt_tokens * 0.1 + completion_tokens * 0.4) / 1e6 WHEN 'gemini-2.5-pro' THEN (prompt_tokens * 1.25 + completion_tokens * 10.0) / 1e6 END, 9) AS computed FROM costs")
 def cost_compute(spark, d):
     return ops.cost_of(_costs(spark, d)).select("id", "computed")
 

@@ -23,7 +23,7 @@ def register(sql: str | None = None):
 
 
 def _load() -> None:
-    from . import data, knowledge_queries, records, search, vectors  # noqa: F401
+    from . import data, knowledge_queries, records, search, upkeep_queries, vectors  # noqa: F401
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -195,16 +195,12 @@ def prf_topk(spark, d):
     return retrieval.vector_topk(v, retrieval.feedback_queries(v, vector_queries(spark, d)))
 
 
-def _generic_sql(c: str) -> str:
-    for pattern, kind in text.GENERIC:
-        c = f"regexp_replace({c}, '{pattern}', '{kind}', 'g')"
-    return f"regexp_replace({c}, '^\\s+|\\s+$', '', 'g')"
-
-
-@register(f"SELECT passage_id, {_generic_sql('passage')} AS generic FROM (SELECT item_id AS passage_id, passage FROM eval_items)")
+@register()
 def genericize_text(spark, d):
-    e = table(spark, d, "eval_items")
-    return e.select(F.col("item_id").alias("passage_id"), text.genericise(F.col("passage")).alias("generic"))
+    """All texts and passages; tested against Python's own regular expressions (those of SQL have no Unicode word edges)."""
+    both = table(spark, d, "documents").select(F.lit("documents").alias("kind"), F.col("doc_id").alias("id"), "text")
+    both = both.unionByName(table(spark, d, "eval_items").select(F.lit("eval_items").alias("kind"), F.col("item_id").alias("id"), F.col("passage").alias("text")))
+    return both.select("kind", "id", text.genericise(F.col("text")).alias("generic"))
 
 
 @register("SELECT doc_id, term, count(*) AS tf, any_value(dl) AS dl FROM (SELECT doc_id, len(" + _TOKENS + ") AS dl, unnest(" + _TOKENS + ") AS term FROM documents WHERE text IS NOT NULL) GROUP BY doc_id, term")

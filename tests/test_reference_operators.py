@@ -48,6 +48,41 @@ def test_sql_twin(spark, duck, name):
     assert _rows(registry.queries()[name](spark, SF).toPandas()) == _rows(duck.execute(registry.sql()[name]).df())
 
 
+def test_genericise_equals_pythons_expressions(spark):
+    """Every text of the smallest tables and odd ones, by the same expressions in Python."""
+    import re
+
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select("text")
+    odd = ["", " ", None, "see https://a.b/c?d=1 or x@y.org", "2024-01-31 1/2/2020 March 1999, 2001–2003; 1998 - 1999", "12,5 % of $3.2 Million or €5", "é2020 v2020 2020é ١٢٣", "\x1c a\u00a0\u2003b \x85", "a  b   c"]
+    df = docs.unionByName(spark.createDataFrame([(x,) for x in odd], "text string"))
+
+    def plain(t):
+        for p in text.GENERIC:
+            t = re.sub(p, "", t)
+        return re.sub(text.BLANKS, " ", t).strip()
+
+    for r in df.select("text", text.genericise(F.col("text")).alias("g")).collect():
+        assert r["g"] == (None if r["text"] is None else plain(r["text"]))
+
+
+def test_payloads_claims_and_vectors_are_kept_up(spark):
+    from quern.operators import upkeep
+
+    with pytest.raises(ValueError):
+        upkeep.append_vectors(None, spark.createDataFrame([("a", [1.0])], "id string, embedding array<float>"), 2)
+    cache = spark.createDataFrame([], "key string, source string, payload string, fetched_at long, ttl_seconds long")
+    with pytest.raises(ValueError):
+        upkeep.put_many(cache, cache.select("key", "payload"), "", 1)
+    rows = spark.createDataFrame([("a", "1"), ("a", "2"), (None, "3")], "key string, payload string")
+    cache = upkeep.put_many(upkeep.put_many(cache, rows, "s", 100, 10), rows, "t", 100, 10)
+    assert {(r["key"], r["payload"]) for r in upkeep.get_many(cache, rows, "s", 110).collect()} == {("a", "2")}
+    assert upkeep.get_many(cache, rows, "s", 111).count() == 0 and upkeep.get_many(cache, rows, "s", 111, True).count() == 1
+    assert upkeep.clear_source(cache, "s").count() == 1 and upkeep.invalidate_before(cache, "t", 101)[1].first()["removed"] == 1
+    one = spark.createDataFrame([('{"id": "Q1", "labels": {"de": {"value": "Ding"}}, "claims": {"P31": [{"rank": "normal", "mainsnak": {"datatype": "wikibase-item", "datavalue": {"value": {"id": "Q5"}}}}]}}',), ("no json",), (None,)], "j string")
+    got = [r["p"] for r in one.select(upkeep.parse_payload(F.col("j")).alias("p")).collect()]
+    assert got[0]["qid"] == "Q1" and got[0]["label"] == "Ding" and [(c["property"], c["value"]) for c in got[0]["claims"]] == [("P31", "Q5")] and got[1:] == [None, None]
+
+
 def test_every_query_is_registered_once():
     assert set(entry.oracle_sql()) <= set(entry.queries()) and "hybrid_rrf" in entry.queries()
 
