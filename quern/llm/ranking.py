@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from quern.functions.keys import key, strip
+from quern.session import cut
 
 
 def places(results: DataFrame) -> DataFrame:
@@ -68,15 +69,27 @@ def leximin(pct: DataFrame) -> DataFrame:
     return item.select("query_id", "id", F.concat(zeros, F.col("have")).alias("vector"), "lists")
 
 
+def _places(v: DataFrame) -> DataFrame:
+    """Adds ``place`` within each query without gathering one: vectors are range-partitioned, and a range counts on from those before it."""
+    order = ["query_id", F.desc("vector"), "id"]
+    ranged = cut(v.repartitionByRange(*order).withColumn("range", F.spark_partition_id()))
+    size = ranged.groupBy("query_id", "range").agg(F.count("*").alias("n"))
+    before = F.sum("n").over(Window.partitionBy("query_id").orderBy("range").rowsBetween(Window.unboundedPreceding, -1))  # at most one row a range and query
+    size = size.select("query_id", "range", F.coalesce(before, F.lit(0)).alias("before"))
+    own = F.row_number().over(Window.partitionBy("query_id", "range").orderBy(F.desc("vector"), "id"))
+    return ranged.withColumn("own", own).join(size, ["query_id", "range"]).withColumn("place", (F.col("own") + F.col("before")).cast("int"))
+
+
 def rank_items(results: DataFrame, top: int | None = None) -> DataFrame:
     """``query_id, id, place, lists_in, weakest``: the leximin ranking, ``top`` places of it or all.
 
     Vectors are compared like arrays: the weakest percentile first, then the next.  Equal vectors
-    are ordered by id.  With ``top`` Spark keeps only so many rows a query before the shuffle.
+    are ordered by id.  With ``top`` Spark keeps only so many rows a query before the shuffle; without,
+    a query of any size is ranked in ranges.
     """
     v = leximin(percentiles(places(results)))
-    order = Window.partitionBy("query_id").orderBy(F.desc("vector"), "id")
-    out = v.withColumn("place", F.row_number().over(order))
-    if top is not None:
-        out = out.where(F.col("place") <= top)
+    if top is None:
+        out = _places(v)
+    else:
+        out = v.withColumn("place", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("vector"), "id"))).where(F.col("place") <= top)
     return out.select("query_id", "id", "place", F.size(F.filter("vector", lambda x: x > 0)).alias("lists_in"), F.col("vector")[0].alias("weakest"))
