@@ -12,6 +12,7 @@ from pyspark.sql.window import Window
 
 from quern.functions.text import query_terms, tokens
 from quern.functions.vectors import cosine, unit
+from quern.session import spread
 
 K1, B = 1.2, 0.75
 
@@ -120,7 +121,7 @@ def bm25(docs: DataFrame, queries: DataFrame, stem: Callable[[Column], Column] |
     """
     words = F.flatten(F.transform(query_terms(F.col("query")), lambda w: tokens(w)))
     asked = queries.select("qid", F.explode(F.array_distinct(stem(words) if stem else words)).alias("term"))
-    spoken = docs.where("content IS NOT NULL").select("id", tokens(F.col("content")).alias("w"))
+    spoken = spread(docs.where("content IS NOT NULL").select("id", "content")).select("id", tokens(F.col("content")).alias("w"))
     stats = spoken.agg(F.count("*").cast("double").alias("n"), F.avg(F.size("w")).alias("avgdl"))
     terms = spoken.select("id", F.size("w").alias("dl"), F.explode(stem(F.col("w")) if stem else "w").alias("term"))
     # only postings of asked terms leave the scan; they are spread by id once, for all that follows
