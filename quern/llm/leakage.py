@@ -30,6 +30,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quern.session import spread
+
 SHINGLE = 3  #: words; a changed word breaks three shingles, not five
 SHARE = 0.30  #: share of a passage's shingles that a candidate holds at least
 COVER = 0.40  #: share of a passage's words, in order and close together, that makes a leak ("about half")
@@ -243,7 +245,7 @@ def leaks(corpus: DataFrame, key: str, text: str, items: DataFrame, item: str, p
     """
     passages = items.where(F.length(passage) > 0).select(F.col(item).alias("item"), F.col(passage).alias("passage")).distinct()
     total = passages.agg(F.coalesce(F.sum(F.length("passage")), F.lit(0))).first()[0]
-    docs = corpus.where(F.length(text) > 0).select(F.col(key).alias("doc"), F.col(text).alias("text"))
+    docs = spread(corpus.where(F.length(text) > 0).select(F.col(key).alias("doc"), F.col(text).alias("text")))
     blocks = max(1, ceil(total / block_chars))
     found = None
     for b in range(blocks):

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from quern.session import cut
+from quern.session import cut, spread
 
 from .graph_index import NEG, ShardGraph
 
@@ -185,7 +185,7 @@ def similar_pairs(vectors: DataFrame, dim: int, min_cos: float = 0.9, k: int = 5
     """
     vectors = vectors.where(F.col("key").isNotNull() & (F.size("embedding") == dim)).select("space", "key", "embedding")
     centroids = fit_centroids(vectors, dim, shard_rows, centroids_most)
-    routed = cut(route(vectors, centroids, dim, probes))
+    routed = cut(route(spread(vectors), centroids, dim, probes))
     everything = _visits(routed, routed, centroids, dim, max_rows, True)
 
     def run(group: pd.DataFrame) -> pd.DataFrame:
@@ -233,7 +233,7 @@ def nearest(vectors: DataFrame, queries: DataFrame, dim: int, k: int = 5, probes
     vectors = vectors.where(F.col("key").isNotNull() & (F.size("embedding") == dim)).select("space", "key", "embedding")
     queries = queries.where(F.col("key").isNotNull() & (F.size("embedding") == dim)).select("space", "key", "embedding")
     centroids = fit_centroids(vectors, dim, shard_rows, centroids_most)
-    routed = cut(route(vectors, centroids, dim, 0))
+    routed = cut(route(spread(vectors), centroids, dim, 0))
     everything = _visits(routed, route(queries, centroids, dim, probes, None), centroids, dim, max_rows, False)
 
     def run(group: pd.DataFrame) -> pd.DataFrame:

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quern.functions.keys import key as lower_key
-from quern.session import cut
+from quern.session import cut, spread
 
 #: Features, and the side of a spam-directed deviation.
 SPAM = {"diversity": -1, "entropy": -1, "repeat": 1, "function": -1, "links": 1, "tags": 1}
@@ -257,6 +257,7 @@ def stuffed(df: DataFrame, key: str, text: str, lang: str, far: float = FAR, dir
     twice counts once; an empty table gives no rows.  Statistics come from all documents.
     """
     named = df.where(F.length(text) > 0).select(F.col(key).alias("k"), F.coalesce(lower_key(F.col(lang)), F.lit("")).alias("g"), F.col(text).alias("t"))
+    named = spread(named)
     feats = cut(extract(named, function_words(named)))
     if feats.isEmpty():
         return feats.select(F.col("key").alias(key), F.lit("").alias("direction"), F.lit(0.0).alias("deviation"), F.lit(0.0).alias("distance"))

@@ -18,6 +18,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from quern.session import spread
+
 TOKENIZER_DIR = "/opt/tokenizers"  #: default; the vocabulary stays where it is
 VOCABULARY = "byte_bpe_50k.tiktoken"
 LONG_WORD = 4096  #: a run without white space beyond this many characters is cut between letters too
@@ -136,4 +138,4 @@ def encode(df: DataFrame, key: str, text: str, tokenizer_dir: str = TOKENIZER_DI
                 values = np.concatenate(lists) if lists else np.zeros(0, np.int32)
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.ListArray.from_arrays(pa.array(offsets), pa.array(values))], names=[key, "ids"])
 
-    return df.select(key, text).mapInArrow(run, f"`{key}` {kind}, ids array<int>")
+    return spread(df.select(key, text)).mapInArrow(run, f"`{key}` {kind}, ids array<int>")
