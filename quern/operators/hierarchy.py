@@ -86,13 +86,18 @@ def _round(live: DataFrame, salt: int) -> DataFrame:
     return both.select("g", F.inline(rows))
 
 
+def _written(df: DataFrame, **measures: F.Column) -> tuple[DataFrame, dict]:
+    parts = Parts(df.sparkSession)
+    counts = parts.add(df, **measures)
+    return parts.frame(), counts
+
+
 def contract(edges: DataFrame) -> tuple[list[dict[str, DataFrame]], DataFrame | None]:
     """The recorded rounds, in order, and the links ``g, p, c, via`` of the core (None if nothing is left)."""
-    live = cut(edges.select("g", "p", "c").distinct().withColumn("via", F.array().cast(_WAY)))
-    size, log = live.count(), []
+    live, counts = _written(edges.select("g", "p", "c").distinct().withColumn("via", F.array().cast(_WAY)), n=F.count("*"))
+    size, log = counts["n"], []
     while size:
-        frame = cut(_round(live, len(log)))
-        counts = {r["kind"]: r["count"] for r in frame.groupBy("kind").count().collect()}
+        frame, counts = _written(_round(live, len(log)), **{kind: F.count_if(F.col("kind") == kind) for kind in ("rake", "hang", "under", "live")})
         log.append({kind: frame.where(F.col("kind") == kind).select("g", "p", "c", "via") for kind in ("rake", "hang", "under") if counts.get(kind)})
         live, before, size = frame.where("kind = 'live'").select("g", "p", "c", "via"), size, counts.get("live", 0)
         if size > SHRINKS * before:
@@ -103,12 +108,11 @@ def contract(edges: DataFrame) -> tuple[list[dict[str, DataFrame]], DataFrame |
 def _closed(core: DataFrame) -> DataFrame:
     """Transitive closure ``g, a, d`` of the core: ways of up to 2, 4, 8, ... links until no pair is new."""
     step = cut(core.select("g", F.col("p").alias("a"), F.col("c").alias("d")).distinct())
-    pairs, size = step, step.count()
+    pairs, size = step, None
     while True:
         on = step.select("g", F.col("a").alias("m"), F.col("d").alias("e"))
         reach = lambda left: left.select("g", "a", F.col("d").alias("m")).join(on.hint("merge"), ["g", "m"]).select("g", "a", F.col("e").alias("d"))
-        pairs = cut(pairs.unionByName(reach(pairs)).distinct())
-        now = pairs.count()
+        pairs, now = _written(pairs.unionByName(reach(pairs)).distinct(), n=F.count("*"))
         if now == size:
             return pairs
         size, step = now, cut(reach(step).distinct())
@@ -158,8 +162,8 @@ def _core_ways(tops: DataFrame, core: DataFrame) -> DataFrame:
     mark = None
     while True:
         more = ways.select("g", "root", F.col("n").alias("p"), F.col("way").alias("head")).join(step.hint("merge"), ["g", "p"]).select("g", "root", F.col("c").alias("n"), F.concat("head", "way").alias("way"))
-        ways = cut(ways.unionByName(more).groupBy("g", "root", "n").agg(_shortest(F.size("way"), F.col("way")).alias("way")))
-        now = ways.agg(F.count("*").alias("n"), F.sum(F.xxhash64("g", "root", "n", "way").cast("decimal(38,0)")).alias("h")).first()
+        best = ways.unionByName(more).groupBy("g", "root", "n").agg(_shortest(F.size("way"), F.col("way")).alias("way"))
+        ways, now = _written(best, n=F.count("*"), h=F.sum(F.xxhash64("g", "root", "n", "way").cast("decimal(38,0)")))
         if now == mark:
             return ways
         mark = now

@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 
 CHECKPOINT_KEY = "spark.checkpoint.dir"
 
@@ -73,11 +73,16 @@ class Parts:
     def __init__(self, spark: SparkSession):
         self.spark, self.schema, self.paths = spark, None, []
 
-    def add(self, df: DataFrame) -> None:
+    def add(self, df: DataFrame, **measures: Column) -> dict:
+        """Writes one part; the aggregates ``measures`` are taken while it is written, without a job of their own."""
         target = f"{checkpoint_dir(self.spark)}/quern-{uuid.uuid4().hex}"
         self.schema = self.schema or df.schema
+        seen = Observation() if measures else None
+        if seen is not None:
+            df = df.observe(seen, *[c.alias(name) for name, c in measures.items()])
         df.write.parquet(target)
         self.paths.append(target)
+        return {} if seen is None else seen.get
 
     def frame(self) -> DataFrame:
         return self.spark.read.schema(self.schema).parquet(*self.paths)
