@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quern.functions.keys import key
-from quern.session import cut
+from quern.session import Parts
 
 
 def _roots(hooks: DataFrame) -> DataFrame:
@@ -19,23 +19,22 @@ def _roots(hooks: DataFrame) -> DataFrame:
     Vertices whose pointer ends at a root are set aside and only serve as steps for the others, so
     each step joins the rest only and the number of partitions grows by addition, not by doubling.
     """
-    moving = hooks.select("v", "up", (F.col("v") == F.col("up")).alias("done"))
-    settled: list[DataFrame] = []
+    moving, parts, step = hooks.select("v", "up", (F.col("v") == F.col("up")).alias("done")), Parts(hooks.sparkSession), 0
     while True:
-        here = cut(moving)
-        settled.append(here.where("done"))
-        left = here.where("NOT done")
-        if left.isEmpty():
-            break
-        ahead = left
-        for part in settled:
-            ahead = ahead.unionByName(part)
-        ahead = ahead.select(F.col("v").alias("x"), F.col("up").alias("xx"))
+        count = parts.add(moving.withColumn("step", F.lit(step)), left=F.count_if(~F.col("done")))
+        every = parts.frame()
+        left = every.where((F.col("step") == step) & ~F.col("done"))
+        if not count["left"]:
+            return every.where("done").select("v", F.col("up").alias("root"))
+        ahead = every.where(F.col("done") | (F.col("step") == step)).select(F.col("v").alias("x"), F.col("up").alias("xx"))
         moving = left.join(ahead.hint("merge"), F.col("up") == F.col("x")).select("v", F.col("xx").alias("up"), (F.col("xx") == F.col("up")).alias("done"))
-    out = settled[0]
-    for part in settled[1:]:
-        out = out.unionByName(part)
-    return out.select("v", F.col("up").alias("root"))
+        step += 1
+
+
+def _written(df: DataFrame) -> tuple[DataFrame, int]:
+    parts = Parts(df.sparkSession)
+    count = parts.add(df, n=F.count("*"))
+    return parts.frame(), count["n"]
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -48,28 +47,24 @@ def components(edges: DataFrame) -> DataFrame:
     remain.  Rounds are logarithmic in the number of vertices; nothing is collected.  Null ends and
     self links are ignored; an empty table gives no rows.
     """
-    live = cut(
+    live, n = _written(
         edges.where("a IS NOT NULL AND b IS NOT NULL AND a <> b")
         .select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
         .distinct()
     )
-    width = int(edges.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     levels = []
-    while not live.isEmpty():
+    while n:
         ends = live.select(F.explode(F.array(F.struct(F.col("a").alias("v"), F.col("b").alias("w")), F.struct(F.col("b").alias("v"), F.col("a").alias("w")))).alias("e")).select("e.v", "e.w")
         best = ends.groupBy("v").agg(F.min(F.struct(F.least("v", "w").alias("lo"), F.greatest("v", "w").alias("hi"))).alias("m"))
-        hooks = cut(best.select("v", F.when(F.col("v") == F.col("m.lo"), F.col("m.hi")).otherwise(F.col("m.lo")).alias("up")))
+        hooks = best.select("v", F.when(F.col("v") == F.col("m.lo"), F.col("m.hi")).otherwise(F.col("m.lo")).alias("up"))
         back = hooks.select(F.col("v").alias("x"), F.col("up").alias("xx"))
         # of a mutual pair the smaller end becomes the root
-        hooks = cut(
-            hooks.join(back.hint("merge"), F.col("up") == F.col("x"))
-            .select("v", F.when((F.col("xx") == F.col("v")) & (F.col("v") < F.col("up")), F.col("v")).otherwise(F.col("up")).alias("up"))
-        )
-        roots = cut(_roots(hooks).coalesce(width))
+        hooks = hooks.join(back.hint("merge"), F.col("up") == F.col("x")).select("v", F.when((F.col("xx") == F.col("v")) & (F.col("v") < F.col("up")), F.col("v")).otherwise(F.col("up")).alias("up"))
+        roots = _roots(hooks)
         levels.append(roots)
         at_a = roots.select(F.col("v").alias("a"), F.col("root").alias("ra"))
         at_b = roots.select(F.col("v").alias("b"), F.col("root").alias("rb"))
-        live = cut(
+        live, n = _written(
             live.join(at_a.hint("merge"), "a").join(at_b.hint("merge"), "b")
             .where("ra <> rb")
             .select(F.least("ra", "rb").alias("a"), F.greatest("ra", "rb").alias("b"))
