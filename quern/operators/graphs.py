@@ -4,9 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
-from quern.session import cut
+from quern.session import Parts, cut
 
 
 def both_ways(edges: DataFrame) -> DataFrame:
@@ -73,21 +72,29 @@ def betweenness(edges: DataFrame, sources: DataFrame) -> DataFrame:
 
 
 def shortest_path(edges: DataFrame, start, end) -> list:
-    """One shortest path as a list of vertices (smallest ids first), or an empty list; the frontier stays distributed."""
+    """The shortest path as a list of vertices (of several the smallest by ids), or an empty list.
+
+    Distances to ``end`` spread level by level until ``start`` is reached or nothing is new; the
+    frontier stays distributed.  The path is then read off from ``start``: each step takes the
+    smallest neighbour that is one link nearer.
+    """
     two = cut(both_ways(edges))
-    spark = edges.sparkSession
     kind = two.schema["v"].dataType.simpleString()
-    front = spark.createDataFrame([(start, [start])], f"v {kind}, path array<{kind}>")
-    seen = front.select("v")
+    parts, depth = Parts(edges.sparkSession), 0
+    step = edges.sparkSession.createDataFrame([(end, 0)], f"v {kind}, d int")
     while True:
-        hit = front.where(F.col("v") == F.lit(end)).first()
-        if hit:
-            return list(hit["path"])
-        step = front.join(two, "v").groupBy(F.col("w").alias("v")).agg(F.min("path").alias("path")).join(seen, "v", "left_anti")
-        front = cut(step.select("v", F.concat("path", F.array("v")).alias("path")))
-        if front.isEmpty():
+        got = parts.add(step, n=F.count("*"), hit=F.count_if(F.col("v") == F.lit(start)))
+        if got["hit"]:
+            break
+        if not got["n"]:
             return []
-        seen = seen.unionByName(front.select("v"))
+        seen = parts.frame()
+        step = seen.where(F.col("d") == depth).join(two, "v").select(F.col("w").alias("v")).distinct().join(seen.select("v"), "v", "left_anti").withColumn("d", F.lit(depth + 1))
+        depth += 1
+    path, far = [start], parts.frame().withColumnRenamed("v", "w")
+    for d in range(depth - 1, -1, -1):
+        path.append(two.where(F.col("v") == F.lit(path[-1])).join(far.where(F.col("d") == d), "w").agg(F.min("w")).first()[0])
+    return path
 
 
 def cluster_agreement(a: DataFrame, b: DataFrame) -> DataFrame:

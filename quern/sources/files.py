@@ -86,25 +86,55 @@ def read_legacy_state(spark: SparkSession, path: str) -> DataFrame:
     return df.select(F.explode(F.coalesce("items", "productions")).alias("item_id", "s")).select("item_id", "s.status", F.coalesce("s.cost", F.lit(0.0)).alias("cost"))
 
 
-def fetch_missing(keys: DataFrame, fetch: Callable[[list[str]], dict[str, str]], batch: int = 50, rate: float | None = None, tries: int = 3) -> DataFrame:
-    """``key, payload, error`` from a provider called with at most ``batch`` keys, with retries and a rate a partition."""
+class ProviderError(Exception):
+    """A provider's refusal: HTTP status, the seconds it asks to wait, or that its replicas lag behind."""
+
+    def __init__(self, message: str, status: int | None = None, retry_after: float | None = None, lagging: bool = False):
+        super().__init__(message)
+        self.status, self.retry_after, self.lagging = status, retry_after, lagging
+
+
+def fetch_missing(keys: DataFrame, fetch: Callable[[list[str]], dict], batch: int = 50, rate: float | None = None, tries: int = 3, workers: int = 4, wait: float = 0.01, longest: float = 60.0) -> DataFrame:
+    """``key, payload, error`` from a provider called with at most ``batch`` keys; ``rate`` keys a second over all ``workers`` together.
+
+    Refusals with status 429 or 5xx, lagging replicas and errors without a status are tried again,
+    after the time the provider asks for or a growing wait (both at most ``longest``); other
+    statuses are final.  A payload given as ``("redirect", key)`` is looked up under that key, once;
+    a redirect to another redirect stays without payload.
+    """
+    own = rate / workers if rate else None
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         import time
 
+        def ask(part: list[str]) -> tuple[dict, str | None]:
+            error = None
+            for attempt in range(tries):
+                began = time.monotonic()
+                try:
+                    return fetch(part), None
+                except Exception as e:  # noqa: BLE001 - a failed batch is a result
+                    error, status = str(e), getattr(e, "status", None)
+                    again = status is None or status == 429 or status >= 500 or getattr(e, "lagging", False)
+                    if not again or attempt == tries - 1:
+                        break
+                    asked = getattr(e, "retry_after", None)
+                    time.sleep(min(longest, wait * 4**attempt if asked is None else asked))
+                finally:
+                    if own:  # each call takes as long as its keys are worth
+                        time.sleep(max(0.0, len(part) / own - (time.monotonic() - began)))
+            return {}, error
+
         for b in batches:
-            ks = b["key"].tolist()
+            ks = b["key"].drop_duplicates().tolist()
             for at in range(0, len(ks), batch):
-                part, got, error = ks[at : at + batch], {}, None
-                for attempt in range(tries):
-                    try:
-                        got, error = fetch(part), None
-                        break
-                    except Exception as e:  # noqa: BLE001 - a failed batch is a result
-                        error = str(e)
-                        time.sleep(min(30.0, 0.01 * 4**attempt))
-                if rate:
-                    time.sleep(len(part) / rate)
-                yield pd.DataFrame({"key": part, "payload": [got.get(k) for k in part], "error": [error] * len(part)})
-
-    return keys.select("key").mapInPandas(run, "key string, payload string, error string")
+                part = ks[at : at + batch]
+                got, error = ask(part)
+                moved = {k: v[1] for k, v in got.items() if isinstance(v, tuple) and v[0] == "redirect"}
+                if moved:
+                    there, error = ask(sorted(set(moved.values())))
+                    got = {**got, **{k: there.get(t) for k, t in moved.items()}}
+                payload = [None if isinstance(got.get(k), tuple) else got.get(k) for k in part]
+                yield pd.DataFrame({"key": part, "payload": payload, "error": [error if p is None else None for p in payload]})
+
+    return keys.where("key IS NOT NULL").select("key").distinct().repartition(workers, "key").mapInPandas(run, "key string, payload string, error string")

@@ -57,3 +57,27 @@ def test_clean_and_acyclic(spark):
     assert got == {"a": (2, ["b"]), "b": (1, [])}
     e = spark.createDataFrame([("g", "a", "b"), ("g", "b", "a"), ("g", "a", "c")], "g string, p string, c string")
     assert {(r["p"], r["c"]) for r in knowledge.break_cycles(e).collect()} == {("b", "a"), ("a", "c")}
+
+
+def test_fetch_retries_by_status_and_follows_redirects(spark, tmp_path):
+    from quern.sources.files import ProviderError, fetch_missing
+
+    folder = str(tmp_path)
+
+    def fetch(keys):
+        import os
+        import uuid
+
+        open(os.path.join(folder, f"{'-'.join(keys)}.{uuid.uuid4().hex}"), "w").close()
+        if keys == ["missing"]:
+            raise ProviderError("no such key", 404)
+        if keys == ["busy"]:
+            raise ProviderError("slow down", 429, retry_after=0.0)
+        return {k: ("redirect", "new") if k == "old" else ("redirect", "old") if k == "loop" else k.upper() for k in keys}
+
+    keys = spark.createDataFrame([(k,) for k in ["a", "a", "old", "loop", "missing", "busy", None]], "key string")
+    got = {r["key"]: (r["payload"], r["error"]) for r in fetch_missing(keys, fetch, batch=1, tries=3).collect()}
+    assert got["a"] == ("A", None) and got["old"] == ("NEW", None) and got["loop"][0] is None
+    assert got["missing"] == (None, "no such key") and got["busy"] == (None, "slow down") and len(got) == 5
+    calls = [p.name.split(".")[0] for p in tmp_path.iterdir()]
+    assert calls.count("missing") == 1 and calls.count("busy") == 3 and calls.count("a") == 1
