@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from quern.session import cut
+from quern.session import Parts
 
 
 @dataclass(frozen=True)
@@ -43,23 +43,26 @@ def find_references(sources: dict[str, DataFrame], refs: list[Reference], target
     return out.join(wanted, ["target_type", "target_id"], "left_semi").select("target_id", "source_type", "field", "id").distinct()
 
 
-def resolve_merges(merges: DataFrame, rounds: int = 32) -> DataFrame:
+def resolve_merges(merges: DataFrame) -> DataFrame:
     """``source, target`` with chains followed to their end (a into b, b into c gives a into c) by pointer doubling.
 
-    A record merged into two others or a cycle is an error.
+    A record merged into two others or a cycle is an error.  Each round settles the records next to
+    an end, so rounds without one leave nothing but cycles.
     """
     m = merges.select(F.col("source").cast("string").alias("source"), F.col("target").cast("string").alias("target")).distinct()
     if not m.groupBy("source").agg(F.count("*").alias("n")).where("n > 1").isEmpty():
         raise ValueError("a record is merged into several others")
-    for _ in range(rounds):
+    before = None
+    while True:
         ahead = m.select(F.col("source").alias("s"), F.col("target").alias("t"))
-        step = cut(m.join(ahead, F.col("target") == F.col("s"), "left").select("source", "target", "t"))
-        if not step.where("source = target OR t = source").isEmpty():
-            raise ValueError("merges form a cycle")
-        if step.where("t IS NOT NULL").isEmpty():
+        parts = Parts(merges.sparkSession)
+        still = parts.add(m.join(ahead, F.col("target") == F.col("s"), "left").select("source", "target", "t"), n=F.count("t"))["n"]
+        step = parts.frame()
+        if not still:
             return step.select("source", "target")
-        m = step.select("source", F.coalesce("t", "target").alias("target"))
-    raise ValueError("merges form a cycle")
+        if still == before:
+            raise ValueError("merges form a cycle")
+        m, before = step.select("source", F.coalesce("t", "target").alias("target")), still
 
 
 def relink(source: DataFrame, ref: Reference, merges: DataFrame) -> DataFrame:

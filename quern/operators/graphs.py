@@ -32,13 +32,22 @@ def neighbourhood(edges: DataFrame, starts: DataFrame, depth: int) -> DataFrame:
     return seen
 
 
-def label_propagation(edges: DataFrame, rounds: int = 5) -> DataFrame:
-    """``v, label``: each round every vertex takes its neighbours' most frequent label, ties to the smallest."""
+def label_propagation(edges: DataFrame, rounds: int = 20) -> DataFrame:
+    """``v, label``: each round every vertex takes its neighbours' most frequent label, ties to the smallest.
+
+    Ends when no label changes, or after ``rounds``: all vertices move at once, so two halves of a
+    graph may swap labels for ever.
+    """
     two = cut(both_ways(edges))
     labels = two.select("v").distinct().withColumn("label", F.col("v"))
     for _ in range(rounds):
         votes = two.join(labels.select(F.col("v").alias("w"), "label"), "w").groupBy("v", "label").agg(F.count("*").alias("n"))
-        labels = cut(votes.groupBy("v").agg(F.max_by("label", F.struct("n", -F.col("label"))).alias("label")))
+        new = votes.groupBy("v").agg(F.min(F.struct((-F.col("n")).alias("n"), "label")).alias("b")).select("v", F.col("b.label").alias("label"))
+        parts = Parts(edges.sparkSession)
+        moved = parts.add(new.join(labels.withColumnRenamed("label", "old"), "v"), n=F.count_if(F.col("label") != F.col("old")))["n"]
+        labels = parts.frame().select("v", "label")
+        if not moved:
+            break
     return labels
 
 

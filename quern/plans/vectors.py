@@ -134,7 +134,12 @@ def sim_bfs(spark, d):
     return graphs.neighbourhood(p, starts, 2)
 
 
-@register()
+def _label_rounds(rounds: int) -> str:
+    one = "l{i} AS MATERIALIZED (SELECT v, label FROM (SELECT t.v, l.label, count(*) AS n FROM two t JOIN l{j} l ON l.v = t.w GROUP BY 1, 2) QUALIFY row_number() OVER (PARTITION BY v ORDER BY n DESC, label) = 1)"
+    return "l0 AS (SELECT DISTINCT v, v AS label FROM two), " + ", ".join(one.format(i=i, j=i - 1) for i in range(1, rounds + 1)) + f" SELECT v, label FROM l{rounds}"
+
+
+@register(f"WITH {PAIRS}, {_TWO}, {_label_rounds(20)}")
 def label_propagation(spark, d):
     return graphs.label_propagation(pairs(spark, d))
 

@@ -168,7 +168,9 @@ def test_knowledge_rules():
 def test_merges_chain_and_cycle(spark):
     good = spark.createDataFrame([(1, 2), (2, 3)], "source long, target long")
     assert {(r["source"], r["target"]) for r in entities.resolve_merges(good).collect()} == {("1", "3"), ("2", "3")}
-    for bad in ([(1, 2), (2, 1)], [(1, 2), (1, 3)]):
+    long = spark.createDataFrame([(i, i + 1) for i in range(200)], "source long, target long")
+    assert {r["target"] for r in entities.resolve_merges(long).collect()} == {"200"}
+    for bad in ([(1, 2), (2, 1)], [(1, 2), (1, 3)], [(1, 2), (2, 3), (3, 1), (4, 5)]):
         with pytest.raises(ValueError):
             entities.resolve_merges(spark.createDataFrame(bad, "source long, target long"))
 
