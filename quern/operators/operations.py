@@ -30,15 +30,15 @@ def status_counts(state: DataFrame) -> DataFrame:
     return state.groupBy("status").agg(F.count("*").alias("n"))
 
 
-def budget_prefix(items: DataFrame, budget: float, buckets: int = 64) -> DataFrame:
+def budget_prefix(items: DataFrame, budget: float, per_range: int = 100_000) -> DataFrame:
     """``seq, item_id, cost, total``: the items committed in ``seq`` order until the first that would exceed the budget.
 
-    Costs are summed by ranges of ``seq`` first; only the running sum inside a range sorts rows, so
-    no single task holds them all.  Null costs count as 0; negative ones are an error of the caller.
+    Costs are summed by ranges of ``seq`` first, as many as the number of items calls for; only the
+    running sum inside a range sorts rows, so no single task holds them all.  Null costs count as 0; negative ones are an error of the caller.
     """
     rows = items.select("seq", "item_id", F.coalesce("cost", F.lit(0.0)).alias("cost"))
-    span = rows.agg(F.min("seq").alias("lo"), F.max("seq").alias("hi"))
-    at = F.floor((F.col("seq") - F.col("lo")) * buckets / (F.col("hi") - F.col("lo") + 1))
+    span = rows.agg(F.min("seq").alias("lo"), F.max("seq").alias("hi"), F.ceil(F.count("*") / per_range).alias("ranges"))
+    at = F.floor((F.col("seq") - F.col("lo")) * F.col("ranges") / (F.col("hi") - F.col("lo") + 1))
     placed = rows.join(F.broadcast(span)).select("seq", "item_id", "cost", at.alias("range"))
     sums = placed.groupBy("range").agg(F.sum("cost").alias("s"))
     head = sums.select("range", F.coalesce(F.sum("s").over(Window.orderBy("range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0)).alias("before"))

@@ -214,7 +214,13 @@ def bm25_stemmed(spark, d):
     return retrieval.top(retrieval.bm25(docs(spark, d), text_queries(spark), text.stems), 10)
 
 
-@register()
+_WORDS = "words AS (SELECT qid, list_filter(regexp_extract_all(lower(query), '[\\p{L}\\p{N}_]+'), lambda t: length(t) > 1 AND NOT regexp_full_match(t, '\\p{N}+')) AS w FROM queries)"
+_RERANK = f"""WITH {BM25}, {_WORDS}, hits AS ({topk('scored', 20)}),
+new AS (SELECT h.*, CASE WHEN rank <= 5 THEN round(len(list_intersect(w.w, {_TOKENS})) / greatest(len(w.w), 1), 6) END AS new_score FROM hits h JOIN words w USING (qid) JOIN documents d ON d.doc_id = h.id)
+SELECT qid, id, rank, new_score, row_number() OVER (PARTITION BY qid ORDER BY new_score DESC NULLS LAST, rank, id) AS new_rank FROM new"""
+
+
+@register(_RERANK)
 def rerank_head(spark, d):
     """The first five hits rescored by the share of query words they hold (a stand-in scorer), the tail unchanged."""
     hits = retrieval.top(retrieval.bm25(docs(spark, d), text_queries(spark)), 20)
