@@ -112,9 +112,15 @@ def latest_operations(log: DataFrame, kinds: list[str] | None = None) -> DataFra
     return best.select("key", F.col("b.type").alias("type"), F.col("b.ts").alias("ts"), F.col("b.seq").alias("seq"), "first_seq")
 
 
-def cost_filter(costs: DataFrame, since: str | None = None, project: str | None = None, host: str | None = None, model_like: str | None = None) -> DataFrame:
-    """Rows that meet all given conditions; times compare as text, models by a case-insensitive part."""
+def cost_filter(costs: DataFrame, since: str | None = None, project: str | None = None, host: str | None = None, model_like: str | None = None, days: int | None = None, now: str | None = None) -> DataFrame:
+    """Rows that meet all given conditions; times compare as text, models by a case-insensitive part.
+
+    ``days`` keeps the rows of the last so many days before ``now`` (a time as text; the present one if not given).
+    """
     out = costs
+    if days:
+        moment = F.to_timestamp(F.lit(now)) if now else F.current_timestamp()
+        out = out.where(F.col("ts") >= F.date_format(moment - F.expr(f"INTERVAL {int(days)} DAYS"), "yyyy-MM-dd'T'HH:mm:ss"))
     for cond in (F.col("ts") >= since if since else None, F.col("project") == project if project else None, F.col("host") == host if host else None, F.col("model").ilike(f"%{model_like}%") if model_like else None):
         out = out if cond is None else out.where(cond)
     return out

@@ -169,16 +169,17 @@ def triage(score: Column, accept: float = 0.75, reject: float = 0.30, labels: tu
     return label, F.when(score >= accept, score).when(score < reject, 1 - score).otherwise(unsure)
 
 
-def document_similarity(docs: DataFrame, weights: dict[str, float], threshold: float = 0.52) -> DataFrame:
+def document_similarity(docs: DataFrame, weights: dict[str, float], threshold: float = 0.52, max_pairs: int | None = None) -> DataFrame:
     """``id_a, id_b, score`` of documents with one vector a field (columns named as in ``weights``).
 
     A null field takes the first field that isn't; a document without any drops out.  Compared
-    unrounded, reported with four digits.
+    unrounded, reported with four digits.  ``max_pairs`` keeps the most similar pairs, ties to the smaller ids.
     """
     names = list(weights)
     spare = F.coalesce(*[F.col(n) for n in names])
     merged = docs.where(spare.isNotNull()).select("id", weighted([(F.coalesce(F.col(n), spare), w) for n, w in weights.items()]).alias("embedding"))
-    return cosine_pairs(merged, threshold).select(F.col("a").alias("id_a"), F.col("b").alias("id_b"), F.round("score", 4).alias("score"))
+    out = cosine_pairs(merged, threshold).select(F.col("a").alias("id_a"), F.col("b").alias("id_b"), F.round("score", 4).alias("score"))
+    return out if max_pairs is None else out.orderBy(F.desc("score"), "id_a", "id_b").limit(max_pairs)
 
 
 def field_scores(pairs: DataFrame, docs: DataFrame, names: list[str]) -> DataFrame:

@@ -97,6 +97,25 @@ def cache_stats(cache: DataFrame, now: int) -> DataFrame:
     return cache.groupBy("source").agg(F.count("*").alias("total"), n.alias("fresh"), (F.count("*") - n).alias("expired"))
 
 
+def put_embeddings(cache: DataFrame, new: DataFrame, model: str, now: float) -> DataFrame:
+    """Embedding cache (``text_hash, model_name, embedding, created_at``) with ``new`` (``text_hash, embedding``) of one model; an entry is replaced.
+
+    Of a hash given twice one row counts, the greatest by its vector.
+    """
+    one = new.where("text_hash IS NOT NULL AND embedding IS NOT NULL").groupBy("text_hash").agg(F.max("embedding").alias("embedding"))
+    one = one.select("text_hash", F.lit(model).alias("model_name"), "embedding", F.lit(now).cast("double").alias("created_at"))
+    return cache.join(one.select("text_hash", "model_name"), ["text_hash", "model_name"], "left_anti").select(*one.columns).unionByName(one)
+
+
+def clear_model(cache: DataFrame, model: str | None = None) -> DataFrame:
+    """The cache without one model's entries, or empty."""
+    return cache.limit(0) if model is None else cache.where(~F.col("model_name").eqNullSafe(F.lit(model)))
+
+
+def model_counts(cache: DataFrame) -> DataFrame:
+    return cache.groupBy("model_name").agg(F.count("*").alias("entries"))
+
+
 def beliefs_to_json(beliefs: DataFrame, by: str = "g") -> DataFrame:
     """``by, state``: the beliefs of a map (``n, belief, asked``) as one JSON text, nodes in order."""
     rows = F.array_sort(F.collect_list(F.struct("n", "belief", "asked")))

@@ -12,7 +12,8 @@ from quern.session import table
 from .knowledge_queries import _PARSED, _SQL_DATES, DATES
 from .records import _CAND, _candidates
 from .registry import register
-from .search import _TOKENS, ASKED, docs, units, vectors
+from .records import _COSTS, _costs
+from .search import _TOKENS, ASKED, BM25, docs, text_queries, topk, units, vectors
 
 NOW = 1_750_000_000  #: the moment that the cache queries look from
 
@@ -224,3 +225,33 @@ def resolver_retry(spark, d):
     """Mentions that equal no name are tried again under the spellings of rulers' names."""
     m = table(spark, d, "resolutions").select("res_id", "mention")
     return resolution.retry(m, table(spark, d, "kb_candidates"))
+
+
+@register(f"WITH {BM25}, c AS (SELECT s.* FROM scored s JOIN documents d ON d.doc_id = s.id WHERE d.collection = 'notes') {topk('c', 10)}")
+def bm25_topk_by_collection(spark, d):
+    """Statistics stay global; the collection filters the hits."""
+    hits = retrieval.bm25(docs(spark, d), text_queries(spark)).join(docs(spark, d).where("collection = 'notes'").select("id"), "id", "left_semi")
+    return retrieval.top(hits, 10)
+
+
+@register(f"WITH {_COSTS} SELECT id, ts FROM costs WHERE ts >= '2024-01-25T00:00:00'")
+def cost_last_days(spark, d):
+    """Costs of the five days before a moment."""
+    return ops.cost_filter(_costs(spark, d), days=5, now="2024-01-30 00:00:00").select("id", "ts")
+
+
+@register("SELECT model_name, count(*) AS entries FROM (SELECT text_hash, model_name FROM embedding_cache UNION SELECT text_hash, 'mini-64' FROM embedding_cache WHERE text_hash >= '8') GROUP BY 1")
+def embedding_cache_put(spark, d):
+    """Vectors of half of the hashes are stored under one model again; an entry stays one."""
+    c = table(spark, d, "embedding_cache").select("text_hash", "model_name", "embedding", "created_at")
+    return upkeep.model_counts(upkeep.put_embeddings(c, c.where("text_hash >= '8'"), "mini-64", NOW))
+
+
+@register(
+    f"WITH {units()}, w AS (SELECT id, u[1:32] AS h, u[33:64] AS t FROM u), n AS (SELECT id, {_half('h')} AS h, {_half('t')} AS t FROM w), m AS (SELECT id, list_transform(list_zip(h, t), lambda p: 0.7 * p[1] + 0.3 * p[2]) AS v FROM n), k AS (SELECT id, {_half('v')} AS v FROM m) "
+    "SELECT x.id AS id_a, y.id AS id_b, round(round(list_inner_product(x.v, y.v), 6), 4) AS score FROM k x JOIN k y ON x.id < y.id WHERE list_inner_product(x.v, y.v) >= 0.52 ORDER BY score DESC, id_a, id_b LIMIT 20"
+)
+def doc_similarity_top(spark, d):
+    """The twenty most similar pairs."""
+    v = vectors(spark, d).select("id", F.slice("embedding", 1, 32).alias("head"), F.slice("embedding", 33, 32).alias("tail"))
+    return similarity.document_similarity(v, {"head": 0.7, "tail": 0.3}, max_pairs=20)

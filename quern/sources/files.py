@@ -50,25 +50,67 @@ def read_yaml(spark: SparkSession, folder: str) -> DataFrame:
     return files.mapInPandas(parse, "entity_type string, entity_id string, data string")
 
 
-def write_yaml(entities: DataFrame, folder: str) -> int:
-    """Writes ``entity_type, entity_id, data`` as YAML files, each by an atomic rename; returns the number written."""
+def write_yaml(entities: DataFrame, folder: str, backup: bool = False) -> int:
+    """Writes ``entity_type, entity_id, data`` as YAML files, each by an atomic rename; returns the number written.
 
+    ``folder`` is a path that all executors share.  A file is written under a lock of its own
+    (another writer waits for it, up to 30 seconds); with ``backup`` the file before is kept as ``.bak``.
+    """
+    return _each_file(entities, folder, backup, False)
+
+
+def delete_yaml(entities: DataFrame, folder: str, backup: bool = False) -> int:
+    """Deletes the files of ``entity_type, entity_id`` (kept as ``.bak`` with ``backup``); returns the number that were there."""
+    return _each_file(entities.select("entity_type", "entity_id", F.lit(None).cast("string").alias("data")), folder, backup, True)
+
+
+def _each_file(entities: DataFrame, folder: str, backup: bool, delete: bool) -> int:
     def store(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         import json
         import os
+        import time
         import uuid
+        from contextlib import contextmanager
 
         import yaml
 
+        @contextmanager
+        def locked(target: str):
+            lock, until = f"{target}.lock", time.monotonic() + 30
+            while True:
+                try:
+                    os.close(os.open(lock, os.O_CREAT | os.O_EXCL))
+                    break
+                except FileExistsError:
+                    if time.monotonic() > until:
+                        raise
+                    time.sleep(0.02)
+            try:
+                yield
+            finally:
+                os.unlink(lock)
+
         for b in batches:
+            done = 0
             for kind, name, data in zip(b["entity_type"], b["entity_id"], b["data"]):
                 home = os.path.join(folder, kind)
                 os.makedirs(home, exist_ok=True)
-                draft = os.path.join(home, f".{name}.{uuid.uuid4().hex}")
-                with open(draft, "w", encoding="utf8") as f:
-                    yaml.safe_dump(json.loads(data), f, allow_unicode=True, sort_keys=False)
-                os.replace(draft, os.path.join(home, f"{name}.yaml"))
-            yield pd.DataFrame({"n": [len(b)]})
+                target = os.path.join(home, f"{name}.yaml")
+                with locked(os.path.join(home, f".{name}")):
+                    there = os.path.exists(target)
+                    if there and backup:
+                        os.replace(target, f"{target}.bak")
+                    if delete:
+                        if there and not backup:
+                            os.unlink(target)
+                        done += there
+                        continue
+                    draft = os.path.join(home, f".{name}.{uuid.uuid4().hex}")
+                    with open(draft, "w", encoding="utf8") as f:
+                        yaml.safe_dump(json.loads(data), f, allow_unicode=True, sort_keys=False)
+                    os.replace(draft, target)
+                    done += 1
+            yield pd.DataFrame({"n": [done]})
 
     return entities.mapInPandas(store, "n long").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
 

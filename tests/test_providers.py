@@ -81,3 +81,14 @@ def test_fetch_retries_by_status_and_follows_redirects(spark, tmp_path):
     assert got["missing"] == (None, "no such key") and got["busy"] == (None, "slow down") and len(got) == 5
     calls = [p.name.split(".")[0] for p in tmp_path.iterdir()]
     assert calls.count("missing") == 1 and calls.count("busy") == 3 and calls.count("a") == 1
+
+
+def test_yaml_files_keep_a_backup_and_are_deleted(spark, tmp_path):
+    from quern.sources.files import delete_yaml, read_yaml, write_yaml
+
+    home = str(tmp_path / "store")
+    one = lambda v: spark.createDataFrame([("work", "w1", '{"id": "w1", "n": %d}' % v), ("work", "w2", '{"id": "w2"}')], "entity_type string, entity_id string, data string")
+    assert write_yaml(one(1), home) == 2 and write_yaml(one(2), home, backup=True) == 2
+    assert {r["entity_id"] for r in read_yaml(spark, home).collect()} == {"w1", "w2"}
+    assert "n: 1" in (tmp_path / "store/work/w1.yaml.bak").read_text() and "n: 2" in (tmp_path / "store/work/w1.yaml").read_text()
+    assert delete_yaml(one(1), home) == 2 and delete_yaml(one(1), home) == 0 and read_yaml(spark, home).count() == 0
