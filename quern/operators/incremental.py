@@ -10,12 +10,14 @@ fails before it leaves the earlier state in force and nothing is skipped or repe
 
 from __future__ import annotations
 
+import json
 import uuid
 from math import ceil, log2
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from quern.functions.keys import key
 from quern.session import Parts, checkpoint_dir, cut
@@ -95,12 +97,12 @@ def _compare(live: DataFrame, saved: DataFrame | None, saved_tree: DataFrame | N
     now = tree(live, keys, state, levels)
     if saved is None or saved_tree is None:
         return live.withColumn("change", F.lit("added")), now
-    touched = cut(changed_leaves(now, saved_tree, levels))
-    ranges = [r[0] for r in touched.select(F.shiftright("leaf", FAN * (levels - RANGE)).alias("r")).distinct().collect()]  # at most 16
-    if "range" in saved.columns:
-        saved = saved.where(F.col("range").isin(ranges) if ranges else F.lit(False))
-    mine = live.withColumn("leaf", leaf_of(keys, levels)).join(touched, "leaf", "left_semi").drop("leaf").withColumn("_live", F.lit(True))
-    old = saved.withColumn("leaf", leaf_of(keys, levels)).join(touched, "leaf", "left_semi")
+    touched = cut(changed_leaves(now, saved_tree, levels)).withColumnRenamed("leaf", "_leaf")
+    ranges = [r[0] for r in touched.select(F.shiftright("_leaf", FAN * (levels - RANGE)).alias("r")).distinct().collect()]  # at most 16
+    if "_range" in saved.columns:
+        saved = saved.where(F.col("_range").isin(ranges) if ranges else F.lit(False))
+    mine = live.withColumn("_leaf", leaf_of(keys, levels)).join(touched, "_leaf", "left_semi").drop("_leaf").withColumn("_live", F.lit(True))
+    old = saved.withColumn("_leaf", leaf_of(keys, levels)).join(touched, "_leaf", "left_semi")
     old = old.select(*keys, F.col(state).alias("_saved"), F.lit(True).alias("_known"))
     out = mine.join(old, keys, "full_outer").where(F.col("_known").isNull() | F.col("_live").isNull() | ~F.col(state).eqNullSafe(F.col("_saved")))
     change = F.when(F.col("_known").isNull(), "added").when(F.col("_live").isNull(), "removed").otherwise("changed")
@@ -119,7 +121,7 @@ class Ledger:
 
     def _commits(self) -> list:
         try:
-            rows = self.spark.read.schema("n long, run string, levels int").parquet(f"{self.folder}/commits")
+            rows = self.spark.read.schema("n long, run string, levels int, schema string").parquet(f"{self.folder}/commits")
         except AnalysisException:  # no run yet
             return []
         return rows.orderBy(F.desc("n"), "run").limit(1).collect()
@@ -134,22 +136,25 @@ class Ledger:
         return last[0]["levels"] if last else None
 
     def load(self, part: str) -> DataFrame | None:
-        run = self.current()
-        return None if run is None else self.spark.read.parquet(f"{run}/{part}")
+        last = self._commits()
+        if not last:
+            return None
+        reader = self.spark.read.schema(T.StructType.fromJson(json.loads(last[0]["schema"]))) if part == "records" else self.spark.read  # no range, no file
+        return reader.parquet(f"{self.folder}/runs/{last[0]['run']}/{part}")
 
     def publish(self, output: DataFrame, records: DataFrame, merkle: DataFrame, keys: list[str], state: str, levels: int) -> str:
         """Writes output, record states (by key range) and tree, then the commit; a crash before that changes nothing."""
         run = uuid.uuid4().hex
         last = self._commits()
         output.write.parquet(f"{self.folder}/runs/{run}/output")
-        states = records.select(*keys, state, F.shiftright(leaf_of(keys, levels), FAN * (levels - RANGE)).alias("range"))
-        states.repartition("range").write.partitionBy("range").parquet(f"{self.folder}/runs/{run}/records")
+        states = records.select(*keys, state, F.shiftright(leaf_of(keys, levels), FAN * (levels - RANGE)).alias("_range"))
+        states.repartition("_range").write.partitionBy("_range").parquet(f"{self.folder}/runs/{run}/records")
         merkle.write.parquet(f"{self.folder}/runs/{run}/tree")
-        self._commit(last[0]["n"] + 1 if last else 1, run, levels)
+        self._commit(last[0]["n"] + 1 if last else 1, run, levels, states.schema.json())
         return run
 
-    def _commit(self, n: int, run: str, levels: int) -> None:
-        self.spark.createDataFrame([(n, run, levels)], "n long, run string, levels int").coalesce(1).write.mode("append").parquet(f"{self.folder}/commits")
+    def _commit(self, n: int, run: str, levels: int, schema: str) -> None:
+        self.spark.createDataFrame([(n, run, levels, schema)], "n long, run string, levels int, schema string").coalesce(1).write.mode("append").parquet(f"{self.folder}/commits")
 
     def take(self, records: DataFrame, keys: list[str], state: str) -> DataFrame:
         """One run: the changes of ``records`` since the last published run, published with the new states and tree.
@@ -163,7 +168,7 @@ class Ledger:
         if levels is None or abs(fit - levels) > 1:
             levels = fit
             saved_tree = None if saved is None else tree(saved, keys, state, levels)
-            saved = None if saved is None else saved.drop("range")  # ranges are those of the earlier levels
+            saved = None if saved is None else saved.drop("_range")  # ranges are those of the earlier levels
         out, now = _compare(live, saved, saved_tree, keys, state, levels)
         self.publish(out, live, now, keys, state, levels)
         return self.load("output")

@@ -86,6 +86,14 @@ def test_merkle_changes_and_publication(spark, tmp_path):
     assert incremental.changes(later, led.load("records"), led.load("tree"), ["k"], "state", 2)[0].count() == 0
 
 
+def test_ledger_keeps_clashing_columns_and_empty_tables(spark, tmp_path):
+    led = incremental.Ledger(spark, str(tmp_path / "ledger"))
+    rows = spark.createDataFrame([(1, "a", 7, 8, 9, {"x": 1})], "k long, state string, leaf int, range int, node int, m map<string,int>")
+    assert led.take(rows.limit(0), ["k"], "state").count() == 0
+    assert led.take(rows, ["k"], "state").collect()[0].asDict() == {"k": 1, "state": "a", "leaf": 7, "range": 8, "node": 9, "m": {"x": 1}, "change": "added"}
+    assert led.take(rows, ["k"], "state").count() == 0
+
+
 def test_ledger_survives_a_crash_and_reads_only_the_tree_without_changes(spark, tmp_path, monkeypatch):
     led = incremental.Ledger(spark, str(tmp_path / "ledger"))
     # repeated keys with other columns: one row by the greatest state, the same one each time
