@@ -6,7 +6,8 @@ once), which enumerates the tokens within the bounded distance.  The entities th
 token so found are candidates; a candidate is accepted if the mention's tokens, in any order, can be
 assigned to its own: equal, within the distance, as a nickname or a short form, as an initial or as an abbreviation.
 A shared name part is not enough: every token of the mention must find its place, and the entity's
-distinctive parts must be covered.
+distinctive parts must be covered.  Where that links nothing, blanks may be lost: pieces of the mention's
+tokens are looked up instead, in any number.  What the indexes reach equals a comparison with every entity.
 """
 
 from __future__ import annotations
@@ -76,6 +77,9 @@ def bound(token: str) -> int:
     return 0 if len(token) < 4 else 1 if len(token) < 7 else 2
 
 
+_BOUNDS = [bound("x" * n) for n in range(8)]  # by length; longer ones are as 7
+
+
 class Trie:
     """Trie of tokens; ``near`` enumerates those within an edit distance (swaps count once)."""
 
@@ -117,6 +121,36 @@ class Trie:
                     stack.append((child, c, new, row))
         return found
 
+    def starts(self, text: str) -> list[tuple[int, str, int]]:
+        """Words that pieces from the start of ``text`` are within the bound of: length of the piece, word, distance."""
+        found: list[tuple[int, str, int]] = []
+        n, most = len(text), bound("x" * len(text))
+        far = [most + 1] * (n + 1)
+        stack = [(self.root, "", 0, list(range(n + 1)), far)]
+        while stack:
+            node, last, depth, row, before = stack.pop()
+            end = node.get("")
+            if end is not None:
+                found += [(i, end, row[i]) for i in range(max(1, depth - most), min(n, depth + most) + 1) if row[i] <= _BOUNDS[min(i, 7)]]
+            depth += 1
+            band = range(max(1, depth - most), min(n, depth + most) + 1)
+            for c, child in node.items():
+                if not c:
+                    continue
+                new = far[:]  # cells off the band are farther than any bound
+                new[0] = best = depth
+                for i in band:
+                    ch = text[i - 1]
+                    v = row[i - 1] if ch == c else 1 + min(row[i - 1], row[i], new[i - 1])
+                    if i > 1 and ch == last and text[i - 2] == c:
+                        v = min(v, before[i - 2] + 1)
+                    new[i] = v
+                    if v < best:
+                        best = v
+                if best <= most or min(row) < most:
+                    stack.append((child, c, depth, new, row))
+        return found
+
 
 def _hungarian(grid: list[list[float | None]]) -> tuple[float, set[int]] | None:
     """Cheapest assignment of every row to a column of its own; None marks a pair that can't be."""
@@ -164,31 +198,34 @@ class Linker:
         derived: dict[str, set[int]] = defaultdict(set)
         self.exact: dict[tuple[str, ...], set[int]] = defaultdict(set)
         for qid, label, aliases, kind in zip(rows["qid"], rows["label"], rows["aliases"], rows["kind"]):
-            human = kind == "human"
-            forms = []
+            human, me = kind == "human", len(self.entity)
+            forms: list[list[str]] = []
+            short = set()
             for f in [label, *(aliases if aliases is not None else [])]:
                 if not f:
                     continue
                 t = [x if human else ABBREVIATIONS.get(x, x) for x in tokens(f)]
                 if not human and len(t) == 1 and f.isupper():
-                    acronyms[t[0]].add(len(self.entity))
+                    short.add(t[0])
                 elif t and t not in forms:
                     forms.append(t)
-            if not forms:
+            if not forms and not short:
                 continue
-            me = len(self.entity)
             self.entity.append((qid, human, forms))
+            for x in short:
+                acronyms[x].add(me)
             for t in forms:
                 self.exact[tuple(sorted(t))].add(me)
-                for x in t:
-                    if len(x) > 1 and (x not in generic if not human else x == t[-1]):
-                        owners[x].add(me)
-            if not human and len(forms[0]) >= 3:
+                own = t[-1:] if human else [x for x in t if len(x) > 1 and x not in generic]
+                for x in own or [max(t, key=len)]:  # generic words only: all of them must be found, so one leads there
+                    owners[x].add(me)
+            if not human and forms and len(forms[0]) >= 3:
                 derived["".join(x[0] for x in forms[0])].add(me)
         self.owners, self.acronyms, self.derived = dict(owners), dict(acronyms), dict(derived)
-        self.trie = Trie(self.owners)
-        self.known = set(generic) | set(nicknames) | {x for _, _, fs in self.entity for f in fs for x in f if len(x) > 1}
-        self.words = Trie(self.known)
+        self.known = set(generic) | set(nicknames) | set(ABBREVIATIONS) | {x for _, _, fs in self.entity for f in fs for x in f if len(x) > 1}
+        self.words = Trie(x for x in self.known if len(x) > 1)
+        self.most = max((len(f) for _, _, fs in self.entity for f in fs), default=0)
+        self.begun: dict[str, list[tuple[int, str, int]]] = {}
         self.seen: dict[str, dict[str, int]] = {}
 
     def close(self, token: str) -> dict[str, int]:
@@ -198,12 +235,15 @@ class Linker:
             known = self.seen[token] = dict(self.words.near(token, bound(token)))
         return known
 
-    def _cost(self, m: str, e: str, human: bool, place: int, last: int) -> float | None:
-        """Cost of reading the mention's token ``m`` as the entity's ``e``; None if it can't be."""
+    def _cost(self, m: str, e: str, human: bool, place: int, last: int, alias: bool = False) -> float | None:
+        """Cost of reading the mention's token ``m`` as the entity's ``e``; None if it can't be.
+
+        Initials of persons are read by the label, which spells the names out; in an alias they stand for themselves.
+        """
         if m == e:
             return 0.0
         if len(m) == 1:
-            return 0.3 if human and place != last and e[0] == m else None
+            return 0.3 if human and not alias and place != last and e[0] == m else None
         if not human:
             a = ABBREVIATIONS.get(m)
             if a == e:
@@ -214,7 +254,7 @@ class Linker:
             if SHORT <= len(m) < len(e) and e.startswith(m):
                 return 0.25
             if len(e) == 1:
-                return 0.3 if m[0] == e else None
+                return 0.3 if m[0] == e and not alias else None
         d = self.close(m).get(e)
         if d is not None and d:
             return 0.5 * d
@@ -226,30 +266,34 @@ class Linker:
             return None
         return None
 
-    def _assign(self, m: list[str], e: list[str], human: bool) -> tuple[float, set[int]] | None:
-        """Cheapest assignment of all of ``m`` to different tokens of ``e``, in any order.
+    def _assign(self, m: list[str], e: list[str], human: bool, need: set[int], alias: bool = False) -> float | None:
+        """Cost of the cheapest assignment of all of ``m`` to different tokens of ``e``, in any order, that covers ``need``.
 
-        Initials of a person that are more than the name's tokens may stand for names it lacks.
+        Initials of a person that are more than the label's tokens may stand for names it lacks.
         """
         last = len(e) - 1
-        spare = max(0, len(m) - len(e)) if human else 0
-        grid = [[self._cost(x, y, human, k, last) for k, y in enumerate(e)] + [0.4 if len(x) == 1 else None] * spare for x in m]
+        spare = max(0, len(m) - len(e)) if human and not alias else 0
+        grid = [[self._cost(x, y, human, k, last, alias) for k, y in enumerate(e)] + [0.4 if len(x) == 1 else None] * spare for x in m]
         if len(m) > SEARCHED:
-            return _hungarian(grid)
+            prize = len(m) + 2.0 * sum(map(len, m))  # more than any assignment costs
+            got = _hungarian([[c if c is None or k not in need else c - prize for k, c in enumerate(row)] for row in grid])
+            return got[0] + prize * len(need) if got is not None and need <= got[1] else None
         best: list = [None]
+        must = sum(1 << k for k in need)
 
         def go(i: int, used: int, cost: float) -> None:
-            if best[0] is not None and cost >= best[0][0]:
+            if best[0] is not None and cost >= best[0]:
                 return
             if i == len(m):
-                best[0] = (cost, used)
+                if used & must == must:
+                    best[0] = cost
                 return
             for k, c in enumerate(grid[i]):
                 if c is not None and not used >> k & 1:
                     go(i + 1, used | 1 << k, cost + c)
 
         go(0, 0, 0.0)
-        return None if best[0] is None else (best[0][0], {k for k in range(len(e) + spare) if best[0][1] >> k & 1})
+        return best[0]
 
     def match(self, mention: str) -> list[tuple[float, str]]:
         """Accepted entities with their costs, cheapest first."""
@@ -259,104 +303,205 @@ class Linker:
         same = self.exact.get(tuple(sorted(raw)))
         out: dict[int, float] = {i: 0.0 for i in same} if same else {}
         letters = "".join(raw)
-        if not out and (len(raw) == 1 and len(letters) <= 6 or all(len(x) == 1 for x in raw)) and len(letters) >= 3:
-            for i in self.acronyms.get(letters) or self.derived.get(letters) or ():
-                out[i] = 0.4
+        if not out and (len(raw) == 1 or all(len(x) == 1 for x in raw)):
+            out = {i: 0.45 for i in self.derived.get(letters, ())} | {i: 0.4 for i in self.acronyms.get(letters, ())}  # given ones win, in any shard
         if not out:
-            self._candidates(raw, 0.0, out)
+            self._candidates(raw, out)
         if not out:
-            for split in self._unglued(raw):
-                self._candidates(split, 0.3, out)
+            self._glued(raw, out)
         return sorted((c, self.entity[i][0]) for i, c in out.items())
 
-    def _candidates(self, m: list[str], extra: float, out: dict[int, float]) -> None:
+    def _candidates(self, m: list[str], out: dict[int, float]) -> None:
+        near: set[int] = set()
+        for t in m:
+            for x in (t, ABBREVIATIONS.get(t), *self.close(t)):
+                near |= self.owners.get(x, set())
+        for i in near:
+            _, human, forms = self.entity[i]
+            for at, f in enumerate(forms):
+                cost = self._accept(m, f, human, human and at > 0)
+                if cost is not None:
+                    out[i] = min(cost, out.get(i, 9.0))
+
+    def _starts(self, text: str) -> list[tuple[int, str, int]]:
+        text = text[: self.words.longest + 2]  # no piece within a bound is longer
+        known = self.begun.get(text)
+        if known is None:
+            known = self.begun[text] = self.words.starts(text)
+        return known
+
+    def _glued(self, m: list[str], out: dict[int, float]) -> None:
+        """Readings of a mention whose blanks were lost: any of its tokens may be several of an entity's, stop words between.
+
+        Entities that own a known piece are tried; for each, a table over places in the tokens keeps the cheapest
+        reading of every set of its tokens, so neither pieces nor glued tokens are limited.
+        """
+        reach = self.words.longest + 2
+        for t in m:  # each piece is a token of the entity: no reading has more pieces than the longest name
+            if len(t) > reach:
+                fewest = [0] + [self.most + 1] * len(t)
+                for i in range(len(t)):
+                    if fewest[i] > self.most:
+                        continue
+                    for j in range(i + 1, min(i + reach, len(t)) + 1):
+                        fewest[j] = min(fewest[j], fewest[i] + 1)
+                    for w in STOP:
+                        if t.startswith(w, i):
+                            fewest[i + len(w)] = min(fewest[i + len(w)], fewest[i])
+                if fewest[-1] > self.most:
+                    return
         near: set[int] = set()
+        pieces = []
         for t in m:
-            for x in (t,) if t in self.owners else [w for w, _ in self.trie.near(t, bound(t))]:
-                near |= self.owners[x]
+            at = [self._starts(t[i:]) for i in range(len(t))]
+            pieces.append(at)
+            for w in {*t, *(x for ends in at for _, x, _ in ends)}:
+                near |= self.owners.get(w, set()) | self.owners.get(ABBREVIATIONS.get(w, ""), set())
         for i in near:
             _, human, forms = self.entity[i]
-            for f in forms if not human else forms[:1]:
-                cost = self._accept(m, f, human)
+            for at, f in enumerate(forms):
+                cost = self._read(m, pieces, f, human, human and at > 0)
                 if cost is not None:
-                    out[i] = min(cost + extra, out.get(i, 9.0))
-
-    def _unglued(self, m: list[str]) -> list[list[str]]:
-        """Readings of a mention whose blanks were lost: known words are cut off the front of long tokens."""
-        for at, t in enumerate(m):
-            if 8 <= len(t) <= 4 * (self.words.longest + 2) and not self.close(t):
-                return [m[:at] + parts + m[at + 1 :] for parts in self._cuts(t, 3)]
-        return []
-
-    def _cuts(self, t: str, most: int) -> list[list[str]]:
-        out = []
-        for i in range(1, min(len(t) - 2, self.words.longest + 3)):
-            head, tail = t[:i], t[i:]
-            if i == 1:  # an initial
-                if tail in self.owners or self.trie.near(tail, bound(tail)):
-                    out.append([head, tail])
+                    out[i] = min(cost + 0.3, out.get(i, 9.0))
+
+    def _steps(self, t: str, pieces: list, e: list[str], human: bool, alias: bool) -> list[list[tuple[int, int, float]]]:
+        """From each place in a token: the end of a piece, the entity's token that it is read as (-1: none), the cost.
+
+        A piece isn't read as a word that the whole token is as near to: half a surname is no initial and surname.
+        """
+        n, last = len(t), len(e) - 1
+        whole = self.close(t)
+        steps: list[list[tuple[int, int, float]]] = [[] for _ in t]
+        for k, y in enumerate(e):
+            c = self._cost(t if human or len(t) == 1 else ABBREVIATIONS.get(t, t), y, human, k, last, alias)
+            if c is not None:
+                steps[0].append((n, k, c))
+        places: dict[str, list[int]] = defaultdict(list)
+        for k, y in enumerate(e):
+            places[y].append(k)
+        for i in range(n):
+            for size, w, d in pieces[i]:
+                if size == n or whole.get(w, 9) <= d:
+                    continue
+                to = i + size
+                steps[i] += [(to, k, 0.5 * d) for k in places.get(w, ())]
+                if not human:
+                    steps[i] += [(to, k, 0.0) for k in places.get(ABBREVIATIONS.get(w, "") if not d else "", ())]
+                    continue
+                for y in self.nick.get(w, ()) if not d or size > 4 else ():
+                    steps[i] += [(to, k, 0.2 + 0.5 * d) for k in places.get(y, ()) if k != last]
+                if not d and not alias:
+                    steps[i] += [(to, k, 0.3) for k in places.get(w[0], ()) if k != last]
+            if n > 1:
+                for k, y in enumerate(e):
+                    if y == t[i]:
+                        steps[i].append((i + 1, k, 0.0))
+                    elif human and k != last and y[0] == t[i]:
+                        if not alias:
+                            steps[i].append((i + 1, k, 0.3))
+                        for size in range(2, min(len(y), n - i + 1, n)):
+                            if t[i + size - 1] != y[size - 1]:
+                                break
+                            if size >= SHORT:
+                                steps[i].append((i + size, k, 0.25))
+                steps[i] += [(i + len(w), -1, 0.0) for w in STOP if i + len(w) < n and t.startswith(w, i)]  # none at the end: surnames end so
+        return steps
+
+    def _read(self, m: list[str], pieces: list, e: list[str], human: bool, alias: bool) -> float | None:
+        """Cost of the cheapest accepted reading of the glued tokens as the entity's; initials of lacking names stand alone."""
+        size = len(e)
+        states: dict[tuple[int, int], float] = {(0, 0): 0.0}  # tokens of the entity used, initials of lacking names: cost
+        ways = [self._steps(t, at, e, human, alias) for t, at in zip(m, pieces)]
+        need = self._need(e, human)
+        if not need <= {k for steps in ways for here in steps for _, k, _ in here}:
+            return None
+        for t, steps in zip(m, ways):
+            # with what the token holds so far: 0 no piece, 1 one, 2 one spelled exactly behind stop words, 3 two or the whole
+            table: list[dict[tuple[int, int, int], float]] = [{(used, spare, 0): c for (used, spare), c in states.items()}] + [{} for _ in t]
+            for i, here in enumerate(table[:-1]):
+                for (used, spare, held), cost in here.items():
+                    for to, k, c in steps[i]:
+                        if k < 0:
+                            key = (used, spare, held)
+                        elif used >> k & 1:
+                            continue
+                        else:
+                            key = (used | 1 << k, spare, 3 if held or to - i == len(t) else 1 if c else 2)
+                        if cost + c < table[to].get(key, 1e9):
+                            table[to][key] = cost + c
+            ends: dict[tuple[int, int], float] = {}
+            for (used, spare, held), cost in table[-1].items():
+                if held > 1:
+                    ends[used, spare] = min(cost, ends.get((used, spare), 1e9))
+            if human and not alias and len(t) == 1:
+                for (used, spare), cost in states.items():
+                    if spare < size:
+                        ends[used, spare + 1] = min(cost + 0.4, ends.get((used, spare + 1), 1e9))
+            states = ends
+            if not states:
+                return None
+        must = sum(1 << k for k in need)
+        best = None
+        for (used, spare), cost in states.items():
+            found = used.bit_count()
+            if used & must != must or found + spare < 2 or (spare and (found < size or size < 2)):
                 continue
-            known = head in self.known or head in STOP or (len(head) > 4 and any(len(w) == len(head) or w in self.nick for w in self.close(head)))
-            if known:
-                front = [] if head in STOP else [head]
-                out.append(front + [tail])
-                if most > 1:
-                    out += [front + rest for rest in self._cuts(tail, most - 1)]
-        return [x for x in out if len(x) > 1]
-
-    def _accept(self, m: list[str], e: list[str], human: bool) -> float | None:
+            cost += (0.05 if human else 0.2) * (size - found)
+            best = cost if best is None else min(best, cost)
+        return best
+
+    def _need(self, e: list[str], human: bool) -> set[int]:
+        """A person's first and last name, an organisation's distinctive words; all of a name without such words."""
+        if human:
+            return {0, len(e) - 1}
+        return {k for k, x in enumerate(e) if x not in self.generic} or set(range(len(e)))
+
+    def _accept(self, m: list[str], e: list[str], human: bool, alias: bool = False) -> float | None:
         if human:
             extra = max(0, len(m) - len(e))
             # the catalogue may lack the middle names that initials stand for: as many as the name has parts, at most
-            if len(m) < 2 or extra > len(e) or extra > sum(len(x) == 1 for x in m) or (extra and len(e) < 2):
-                return None
-            got = self._assign(m, e, True)
-            if got is None or len(e) - 1 not in got[1] or 0 not in got[1]:
+            if len(m) < 2 or extra > len(e) or extra > sum(len(x) == 1 for x in m) or (extra and (len(e) < 2 or alias)):
                 return None
-            return got[0] + 0.05 * max(0, len(e) - len(m))
+            got = self._assign(m, e, True, self._need(e, True), alias)
+            return None if got is None else got + 0.05 * max(0, len(e) - len(m))
         m = [ABBREVIATIONS.get(x, x) if len(x) > 1 else x for x in m]
-        if len(m) > len(e):
+        if len(m) > len(e) or len(m) < 2:
             return None
-        got = self._assign(m, e, False)
-        if got is None:
-            return None
-        own = {k for k, x in enumerate(e) if x not in self.generic}
-        if not own <= got[1] or len(m) < 2:
-            return None
-        return got[0] + 0.2 * (len(e) - len(m))
+        got = self._assign(m, e, False, self._need(e, False))
+        return None if got is None else got + 0.2 * (len(e) - len(m))
 
 
-def _learn(catalogue: DataFrame) -> tuple[frozenset[str], dict[str, frozenset[str]], int]:
-    """Generic words and nicknames of the whole catalogue; both are bounded by their least support."""
+def _learn(catalogue: DataFrame) -> tuple[frozenset[str], DataFrame, int]:
+    """Generic words of the whole catalogue, bounded by their least support; short forms that aliases show, as a table; the size."""
 
-    def count(batches):
+    def words(batches):
         for b in batches:
             seen: Counter = Counter()
-            pairs: Counter = Counter()
-            for label, aliases, kind in zip(b["label"], b["aliases"], b["kind"]):
+            for label, kind in zip(b["label"], b["kind"]):
+                seen.update(set(ABBREVIATIONS.get(x, x) for x in tokens(label or "")) if kind != "human" else ())
+            yield pd.DataFrame(seen.items(), columns=["a", "n"])
+
+    def pairs(batches):
+        for b in batches:
+            found = set()
+            for label, aliases in zip(b["label"], b["aliases"]):
                 t = tokens(label or "")
-                seen.update(set(ABBREVIATIONS.get(x, x) for x in t) if kind != "human" else ())
-                for a in aliases if aliases is not None else ():
-                    u = tokens(a or "")
-                    if kind == "human" and len(t) > 1 and len(u) > 1 and t[-1] == u[-1] and len(u[0]) > 1 and u[0] not in t:
-                        pairs[u[0], t[0]] += 1
-            rows = [("g", x, "", n) for x, n in seen.items()] + [("n", x, y, n) for (x, y), n in pairs.items()]
-            yield pd.DataFrame(rows, columns=["sort", "a", "b", "n"])
+                for u in (tokens(a or "") for a in (aliases if aliases is not None else ())):
+                    if len(t) > 1 and len(u) > 1 and t[-1] == u[-1] and len(u[0]) > 1 and u[0] not in t:
+                        found.add((u[0], t[0]))
+            yield pd.DataFrame(sorted(found), columns=["short", "name"])
 
     size = catalogue.count()
-    counted = catalogue.mapInPandas(count, "sort string, a string, b string, n long").groupBy("sort", "a", "b").agg(F.sum("n").alias("n"))
-    least = F.when(F.col("sort") == "g", F.lit(max(7.0, GENERIC_SHARE * size))).otherwise(F.lit(max(1.0, 0.0003 * size)))
-    nick: dict[str, set[str]] = defaultdict(set)
-    for full, shorts in NICKNAMES.items():
-        for s in shorts.split():
-            nick[s].add(full)
-    generic = set(ABBREVIATIONS.values())
-    for r in counted.where(F.col("n") >= least).collect():
-        if r["sort"] == "g":
-            generic.add(r["a"])
-        else:
-            nick[r["a"]].add(r["b"])
-    return frozenset(generic), {k: frozenset(v) for k, v in nick.items()}, size
+    counted = catalogue.mapInPandas(words, "a string, n long").groupBy("a").agg(F.sum("n").alias("n"))
+    generic = frozenset(ABBREVIATIONS.values()) | {r["a"] for r in counted.where(F.col("n") >= max(7.0, GENERIC_SHARE * size)).collect()}
+    return generic, catalogue.where("kind = 'human'").mapInPandas(pairs, "short string, name string").distinct(), size
+
+
+def _names(batches):
+    """Names of persons in the catalogue, by shard."""
+    for b in batches:
+        found = {(s, x) for s, label, aliases in zip(b["shard"], b["label"], b["aliases"]) for f in [label, *(aliases if aliases is not None else [])] for x in tokens(f or "")}
+        yield pd.DataFrame(sorted(found), columns=["shard", "name"])
 
 
 def link(mentions: DataFrame, catalogue: DataFrame, key: str = "res_id", mention: str = "mention") -> DataFrame:
@@ -368,17 +513,27 @@ def link(mentions: DataFrame, catalogue: DataFrame, key: str = "res_id", mention
     """
     kind = F.lower(F.trim(F.coalesce("type_hint", F.lit(""))))
     names = catalogue.where("qid IS NOT NULL").select("qid", "label", "aliases", kind.alias("kind")).dropDuplicates(["qid"])
-    generic, nicknames, size = _learn(names)
+    generic, pairs, size = _learn(names)
     asked = mentions.select(F.trim(F.lower(mention)).alias("mention")).where("mention <> ''").groupBy("mention").agg(F.count("*").alias("n"))
     shards, chunks = max(1, ceil(size / SHARD)), max(1, ceil(asked.count() / CHUNK))
     left = asked.select("mention", F.pmod(F.xxhash64("mention"), F.lit(chunks)).alias("chunk"), F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("shard"))
-    right = names.select("*", F.pmod(F.xxhash64("qid"), F.lit(shards)).cast("int").alias("shard"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(chunks - 1).cast("long"))).alias("chunk"))
+    sharded = names.select("*", F.pmod(F.xxhash64("qid"), F.lit(shards)).cast("int").alias("shard"))
+    # a shard gets the short forms of its own names, however few aliases show them; they have no qid
+    short = sharded.where("kind = 'human'").mapInPandas(_names, "shard int, name string").distinct().join(pairs, "name")
+    short = short.select(F.lit(None).cast("string").alias("qid"), F.col("name").alias("label"), F.array("short").alias("aliases"), F.lit("").alias("kind"), "shard")
+    right = sharded.unionByName(short).select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(chunks - 1).cast("long"))).alias("chunk"))
 
     def run(ask: pd.DataFrame, have: pd.DataFrame) -> pd.DataFrame:
         if not len(ask) or not len(have):
             return pd.DataFrame(columns=["mention", "qid", "cost"])
-        linker = Linker(have.sort_values("qid"), generic, nicknames)
-        rows = [(m, q, c) for m in ask["mention"] for c, q in linker.match(m)[:3]]
+        nick = defaultdict(set)
+        for full, shorts in NICKNAMES.items():
+            for s in shorts.split():
+                nick[s].add(full)
+        for full, (s,) in zip(have["label"][have["qid"].isna()], have["aliases"][have["qid"].isna()]):
+            nick[s].add(full)
+        linker = Linker(have[have["qid"].notna()].sort_values("qid"), generic, {k: frozenset(v) for k, v in nick.items()})
+        rows = [(m, q, c) for m in ask["mention"] for c, q in linker.match(m)[:3]]  # below, two over all shards decide
         return pd.DataFrame(rows, columns=["mention", "qid", "cost"])
 
     spread = left.repartition(max(chunks * shards, 1), "shard", "chunk") if chunks * shards > 1 else left
@@ -386,4 +541,4 @@ def link(mentions: DataFrame, catalogue: DataFrame, key: str = "res_id", mention
     order = Window.partitionBy("mention").orderBy("cost", "qid")
     best = found.select("*", F.row_number().over(order).alias("place"), F.lead("cost").over(order).alias("next")).where("place = 1 AND (next IS NULL OR next > cost + 0.01)")
     rows = mentions.select(F.col(key).alias("key"), F.trim(F.lower(mention)).alias("mention")).where("key IS NOT NULL AND mention <> ''")
-    return rows.join(best.select("mention", "qid", "cost"), "mention").select(F.col("key").alias(key), "qid", "cost").dropDuplicates([key])
+    return rows.join(best.select("mention", "qid", "cost"), "mention").groupBy(F.col("key").alias(key), "qid").agg(F.min("cost").alias("cost"))
